@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -17,10 +16,6 @@ from pyspark.sql import types as T
 from tarnflow.llm.common import Stage, blank_to_empty, table
 
 CAPACITY, END_ID = 1024, 0
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
-#: Before a space or newline that text follows, a byte-level BPE of this kind always starts a new piece.
-BOUNDARY = re.compile(r"(?=[ \n]\S)")
 
 
 def tokenizer_path() -> str:
@@ -42,65 +37,34 @@ def load_ranks(path: str):
     return {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}, special
 
 
-class WordEncoder:
-    """Ids of whole texts, word by word from a bounded cache; equal to encoding the text at once.
+class Encoder:
+    """Ids of whole texts; a second implementation of the same vocabulary does the work at several times the speed.
 
-    A text in which every white space is a single space or newline between words is cut before each of them, where the tokenizer's own
-    pattern always cuts; other texts are cut only where that is sure.  Words that are not in the cache are merged by a second
-    implementation of the same vocabulary, which costs a tenth for short strings; texts with a special token go to ``tokenizers`` whole.
+    Texts that hold a special token's string go to ``tokenizers`` itself, which alone knows such strings.
     """
 
-    def __init__(self, path: str, limit: int = CACHE_WORDS) -> None:
+    def __init__(self, path: str) -> None:
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         ranks, self.special = load_ranks(path)
-        encoding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.merge, self.merge_word = encoding.encode_ordinary, encoding._core_bpe.encode_single_piece
-        self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.limit = limit
-
-    def _missing(self, piece: str) -> bytes:
-        """A word of letters alone is one piece of the tokenizer's pattern, and so is what sentence marks follow it."""
-        stem = piece.rstrip(",.")
-        if stem[1:].isalpha() and (stem[0] == " " or stem[0].isalpha()):
-            ids = self.stems.get(stem)
-            if ids is None:
-                ids = array("I", self.merge_word(stem.encode())).tobytes()
-                if len(self.stems) < self.limit:
-                    self.stems[stem] = ids
-            if len(stem) < len(piece):
-                ids += self._missing_marks(piece[len(stem) :])
-        else:
-            ids = array("I", self.merge(piece)).tobytes()
-        if len(self.words) < self.limit:
-            self.words[piece] = ids
-        return ids
-
-    def _missing_marks(self, marks: str) -> bytes:
-        return self.stems.get(marks) or self.stems.setdefault(marks, array("I", self.merge(marks)).tobytes())
+        self.ordinary = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit."""
         if any(s in text for s in self.special):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(text.split()) == text.count(" ") + text.count("\n") + 1:
-            pieces = text.replace("\n", " \n").replace(" ", "\0 ").replace("\0 \n", "\0\n").split("\0") if "\0" not in text else BOUNDARY.split(text)
-        else:
-            pieces = BOUNDARY.split(text)
-        get = self.words.get
-        return b"".join([get(p) or self._missing(p) for p in pieces])
+        return array("I", self.ordinary(text)).tobytes()
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches):
-        encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
+        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         task, used = TaskContext.get().partitionId(), Counter()
         end = end_id.to_bytes(4, "little")
         for batch in batches:
