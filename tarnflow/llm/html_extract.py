@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.llm.common import blank_to_empty, table
+from tarnflow.llm.common import Stage, blank_to_empty, table
 
 #: Fixed values of HTML and of common page templates.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -68,8 +68,8 @@ class Page:
                 self._close(name)
             elif name in RAW and not m[0].endswith("/>"):
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                # A raw element that never ends hides nothing but itself.
-                at = end.end() if end else at
+                # A script or style that never ends takes the rest of the page; others that never end hide nothing.
+                at = end.end() if end else size if name in ("script", "style") else at
             else:
                 self._open(name, m[3] if m[2] else m[6])
 
@@ -249,7 +249,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     votes = src.select("url", "html").mapInArrow(_vote, "host string, path string, score double")
     counted = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(F.round("score").cast("long")).alias("score"))
     ranked = F.sort_array(F.collect_list(F.struct(-F.col("n"), -F.col("score"), F.col("path").alias("path"))))  # one entry a path of the host
-    winners = counted.groupBy("host").agg(F.transform(F.slice(ranked, 1, HOST_PATHS), lambda x: x["path"]).alias("paths")).withColumnRenamed("host", "voted").cache()
+    winners = counted.groupBy("host").agg(F.transform(F.slice(ranked, 1, HOST_PATHS), lambda x: x["path"]).alias("paths")).withColumnRenamed("host", "voted")
+    winners = Stage(winners, "host-paths").df
     small = winners.count() <= broadcast_hosts
     schema = T.StructType([*src.schema.fields, T.StructField("host", T.StringType())])
     joined = src.mapInArrow(_host, schema).join(F.broadcast(winners) if small else winners, F.col("host") == F.col("voted"), "left")
