@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnflow.session import ship_code
+
 #: Fixed value: the white space of every contract here (space and U+0009 to U+000D).
 WHITE = " \t\n\x0b\x0c\r"
 #: Fixed value: a word is a run of anything else, as a Java and RE2 pattern.
@@ -20,6 +22,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

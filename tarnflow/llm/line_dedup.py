@@ -126,14 +126,14 @@ def _cut(min_chars: int):
                     kept.append(text)
                 lines.append(len(all_lines))
                 lost.append(len(all_lines) - len(stay))
-            names = ["_id", "_uid", "_kept", "n_lines", "n_dropped"]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_uid"), pa.array(kept, pa.binary()), pa.array(lines, pa.int64()), pa.array(lost, pa.int64())], names)
+            names = ["_id", "_rest", "_kept", "n_lines", "n_dropped"]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_rest"), pa.array(kept, pa.binary()), pa.array(lines, pa.int64()), pa.array(lost, pa.int64())], names)
 
     return run
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per input row: ``doc_id, kept_text, n_lines, n_dropped``.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_bits: int = MAX_BITS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: ``doc_id, kept_text, n_lines, n_dropped`` and the columns in ``carry``.
 
     A line's key is the line stripped of white space with A-Z lower-cased.  Keys of ``min_chars`` code points found in ``min_docs`` rows lose
     all their lines but those of the largest id holding them.
@@ -148,7 +148,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     text = blank_to_empty(F.col(text_col))
-    src = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), text).alias("_uid"), text.cast("binary").alias("_text"))
+    src = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), text).alias("_uid"), F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry)).alias("_rest"), text.cast("binary").alias("_text"))
     n_lines = docs.agg(F.sum(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
     bits = min(max_bits, max(1 << 16, 1 << (int(n_lines) * BITS_A_LINE - 1).bit_length()))
     seen = src.select("_text").mapInArrow(_seen(bits, min_chars), "slice int, seen binary")
@@ -167,9 +167,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     clean = src.mapInArrow(_suspects(twice, bits, min_chars, arrow_names, "clean"), src.schema).withColumn("_drop", F.lit(None).cast("array<binary>"))
     dirty = src.mapInArrow(_suspects(twice, bits, min_chars, arrow_names, "dirty"), src.schema)
     dirty = dirty.join(drops, F.col("_id").eqNullSafe(F.col("d_id")) & (F.col("_uid") == F.col("d_uid")), "left").drop("d_id", "d_uid")
-    out_schema = T.StructType([T.StructField("_id", id_type), T.StructField("_uid", T.LongType()), T.StructField("_kept", T.BinaryType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    out_schema = T.StructType([T.StructField("_id", id_type), src.schema["_rest"], T.StructField("_kept", T.BinaryType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     out = clean.unionByName(dirty).mapInArrow(_cut(min_chars), out_schema)
-    return out.select(F.col("_id").alias("doc_id"), F.col("_kept").cast("string").alias("kept_text"), "n_lines", "n_dropped")
+    return out.select(F.col("_id").alias("doc_id"), F.col("_kept").cast("string").alias("kept_text"), "n_lines", "n_dropped", *(F.col(f"_rest.{c}").alias(c) for c in carry))
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
