@@ -220,6 +220,47 @@ def _verified(survivors: DataFrame, pairs: DataFrame, pivots: np.ndarray) -> Dat
     return pairs.join(overlap, ["a", "b"]).where(100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def _stars(end: str):
+    """Of each n-gram's sets the smallest (or largest) as a centre; each set is held against two centres: its most and its least common n-gram's."""
+
+    def step(posts: DataFrame) -> DataFrame:
+        head = getattr(F, end)(F.struct("n", "key", "label"))
+        heads = posts.groupBy("gram").agg(head.alias("head"), F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram", "head", "m")
+        small, large = F.least("n", "head.n"), F.greatest("n", "head.n")
+        able = posts.join(heads, "gram").where((F.col("head.label") != F.col("label")) & (100 * small >= PERCENT * large))
+        choice = F.struct("m", "head")
+        two = able.groupBy("key", "n").agg(F.array_distinct(F.array(F.max(choice)["head"], F.min(choice)["head"])).alias("heads")).select("key", "n", F.explode("heads").alias("head"))
+        return _pairs(F.struct("n", "key"), F.struct("head.n", "head.key"), two)
+
+    return step
+
+
+def _pairs(x, y, rows: DataFrame) -> DataFrame:
+    """Pairs in one order, the smaller set first."""
+    both = rows.select(F.least(x, y).alias("p"), F.greatest(x, y).alias("q"))
+    return both.select(F.col("p.key").alias("a"), F.col("q.key").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).distinct()
+
+
+def _crossed(posts: DataFrame) -> DataFrame:
+    """All pairs from different components that share enough prefix n-grams.
+
+    Of the set whose prefix ends first every common n-gram is a common prefix n-gram or lies behind its prefix, where need(n) - 1 are left.
+    """
+    x, y = posts.alias("x"), posts.alias("y")
+    apart = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & (F.struct("x.n", "x.key") < F.struct("y.n", "y.key"))
+    close = 100 * F.col("x.n") >= PERCENT * F.col("y.n")
+    shared = x.join(y, apart & close).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("k"))
+    behind = F.floor((PERCENT * F.col("nb") + 99) / 100) - 1
+    return shared.where((100 + PERCENT) * (F.col("k") + behind) >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+
+
+def _all(stages: list[Stage]) -> DataFrame:
+    out = stages[0].df
+    for s in stages[1:]:
+        out = out.union(s.df)
+    return out
+
+
 def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, task_shingles: int = TASK_SHINGLES) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``.
 
@@ -227,11 +268,11 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     1. Sets are cut by range of the n-gram hash.  Each range counts its n-grams' document frequencies; n-grams of one set are dropped.
     2. A set that shares less than 80% of its n-grams with any others can't link and goes.  The rest stand in global order: frequency, then hash.
-    3. Prefix filter: sets that link share an n-gram among the first that could be spared.  Of each such n-gram all sets are first
-       held against the smallest one only, a row a posting.
+    3. Prefix filter: sets that link share an n-gram among the first that could be spared.  Each set is first held against the smallest
+       set of its most and of its least common such n-gram, then likewise against the largest: two pairs a set.
     4. Overlaps are counted by fragment of the global order (cut at quantiles) and summed per pair; links are joined to components.
-    5. Of the remaining n-grams' sets only pairs from different components are held against each other, by length and position
-       filter; pairs within a component can't change the result.  So a large group of near copies needs a pair a member, not all.
+    5. Of the n-grams whose sets are still in different components all pairs across components that share enough of them are held against
+       each other; pairs within a component can't change the result.  So a large group of near copies needs a few pairs a member.
 
     Null and empty texts and texts without words have no shingles, link with nothing and are their own component; fewer than ``words`` words are one
     shingle.  Repeated rows are equal sets.  A null id never names a component that has another.  An empty table gives no rows;
@@ -251,31 +292,33 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     left = survivors.agg(F.sum("shared"), F.count("*")).first()
     fragments = max(MIN_FRAGMENTS, -(-(left[0] or 0) // task_shingles))
-    sample = survivors.orderBy(F.xxhash64("key")).limit(200).select("grams", "freq").collect()  # a bounded sample: pivots only balance the fragments
+    sample = survivors.orderBy(F.xxhash64("key")).limit(64).select("grams", "freq").collect()  # a bounded sample: pivots only balance the fragments
     places = np.concatenate([np.zeros(0, dtype=np.uint64), *(_place(np.frombuffer(r["grams"], dtype=np.uint64), np.frombuffer(r["freq"], dtype=np.int32))[:: max(1, len(sample) * (len(r["grams"]) // 8) // PIVOT_SAMPLE)] for r in sample)])
     pivots = np.quantile(places, np.arange(1, fragments) / fragments, method="nearest") if len(places) else np.arange(1, fragments, dtype=np.uint64)
 
-    posted = survivors.select("key", "n", "shared", F.posexplode("prefix").alias("i", "gram")).select("gram", "key", "n", (F.col("n") - F.col("shared") + F.col("i")).alias("at"))
-    heads = posted.groupBy("gram").agg(F.min(F.struct("n", "key")).alias("head"), F.count("*").alias("m")).where("m > 1").select("gram", "head")
-    stars = posted.join(heads, "gram").where((F.col("head.key") != F.col("key")) & (100 * F.col("head.n") >= PERCENT * F.col("n")))
-    first = Stage(stars.select(F.col("head.key").alias("a"), F.col("key").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb")).distinct(), "star-pairs")
-    linked = Stage(_verified(survivors, first.df, pivots), "star-links")
-    label = components(linked.df)
-
-    named_posts = posted.join(label.df.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = named_posts.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
-    open_posts = Stage(named_posts.join(mixed, "gram", "left_semi"), "open-posts")
-    x, y = open_posts.df.alias("x"), open_posts.df.alias("y")
-    room = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    apart = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & (F.struct("x.n", "x.key") < F.struct("y.n", "y.key"))
-    close = (100 * F.col("x.n") >= PERCENT * F.col("y.n")) & ((100 + PERCENT) * room >= PERCENT * (F.col("x.n") + F.col("y.n")))
-    more = x.join(y, apart & close).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-    second = Stage(more.join(first.df, ["a", "b"], "left_anti"), "cross-pairs")
-    if second.df.limit(1).count():
-        extra = Stage(_verified(survivors, second.df, pivots), "cross-links")
-        if extra.df.limit(1).count():
-            label = components(linked.df.union(extra.df))
-    classes = named.df.join(label.df.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    posted = survivors.select("key", "n", "shared", F.explode("prefix").alias("gram")).select("gram", "key", "n")
+    posts = Stage(posted.withColumn("label", F.col("key")), "posts")
+    tried: list[Stage] = []
+    links: list[Stage] = []
+    for step in (_stars("min"), _stars("max"), _crossed):
+        asked = step(posts.df)
+        for earlier in tried:
+            asked = asked.join(earlier.df, ["a", "b"], "left_anti")
+        tried.append(Stage(asked, "pairs"))
+        if not tried[-1].df.limit(1).count():
+            continue
+        found = Stage(_verified(survivors, tried[-1].df, pivots), "links")
+        links.append(found)
+        label = components(_all(links))
+        # Only n-grams whose sets are in different components can still tell anything.
+        named_posts = posts.df.drop("label").join(label.df.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        mixed = named_posts.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
+        if step is not _crossed:
+            open_posts = Stage(named_posts.join(mixed, "gram", "left_semi"), "posts")
+            posts.drop()
+            posts = open_posts
+    label_df = label.df if links else spark.createDataFrame([], "node long, label long")
+    classes = named.df.join(label_df.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     rows = Stage(classes.select("doc_id", "n", "label"), "labelled")
     smallest = rows.df.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = rows.df.join(smallest, "label", "left")
