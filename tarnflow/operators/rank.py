@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tarnflow.materialise import Stage
@@ -16,7 +16,6 @@ from tarnflow.schemas import EPS, MASS_TOLERANCE, MAX_ITERS, TRACE, GraphError
 #: Contributions (16 bytes a vertex, about) are broadcast up to so many vertices; beyond, edges join them by shuffle.
 BROADCAST_VERTICES = 2_000_000
 
-
 @dataclass
 class RankResult:
     """``ranks`` (vertex, rank), ``scores`` (id, k, s), and how the iteration ended."""
@@ -66,8 +65,8 @@ def final_ranks(state: DataFrame, ground: float, n: int) -> DataFrame:
 def rank(graph: PreparedGraph, eps: float = EPS, max_iters: int = MAX_ITERS, exact: bool = False, broadcast_vertices: int = BROADCAST_VERTICES, log: Callable[[str], None] | None = None) -> RankResult:
     """Iterate until the mean change of a score is below ``eps`` (never for eps <= 0) or ``max_iters`` steps are done.
 
-    Each step's state is written, so plans don't grow and a lost executor repeats one step at most.  Its sums are
-    read back from what was written: a task that ran twice counts once.
+    A step is one job: it writes the new state to the shared folder, so plans don't grow and a lost executor repeats one step at most, and
+    sums it up on the way.  The sums are made in the job's last stage, whose tasks count once however often they run.
     """
     spark, n = graph.edges.sparkSession, graph.meta["vertices"]
     if n == 0:
@@ -75,9 +74,11 @@ def rank(graph: PreparedGraph, eps: float = EPS, max_iters: int = MAX_ITERS, exa
     state, ground, delta, trace, converged, kept = initial_state(graph.vertices), 0.0, float("inf"), [], False, None
     for i in range(1, max_iters + 1):
         began = time.time()
-        written = Stage(step(graph.edges, state, ground, n, n <= broadcast_vertices, exact), "scores")
-        fresh = written.df
-        sums = fresh.agg(F.sum(F.abs(F.col("s") - F.col("old"))).alias("moved"), F.sum("s").alias("mass"), F.sum(F.col("old") / (F.col("k") + F.lit(1.0))).alias("ground")).first()
+        seen = Observation()
+        fresh = step(graph.edges, state, ground, n, n <= broadcast_vertices, exact)
+        fresh = fresh.observe(seen, F.sum(F.abs(F.col("s") - F.col("old"))).alias("moved"), F.sum("s").alias("mass"), F.sum(F.col("old") / (F.col("k") + F.lit(1.0))).alias("ground"))
+        written = Stage(fresh.select("id", "k", "s"), "scores")
+        sums = seen.get
         ground, delta = sums["ground"], sums["moved"] / n
         off = abs(sums["mass"] + ground - n)
         if not off <= MASS_TOLERANCE * n:
@@ -87,7 +88,7 @@ def rank(graph: PreparedGraph, eps: float = EPS, max_iters: int = MAX_ITERS, exa
             log(f"iteration {i}: L1/N={delta:.3e} s_g={ground:.6f} time={trace[-1][4]:.3f}s")
         if kept:
             kept.drop()
-        state, kept = fresh.select("id", "k", "s"), written
+        state, kept = written.df, written
         if delta < eps:
             converged = True
             break
