@@ -124,11 +124,14 @@ def _share(groups: int):
     return run
 
 
-SURVIVOR = "key long, n int, shared int, prefix array<long>, grams binary, freq binary"
+SURVIVOR = "key long, n int, shared int, common double, prefix array<long>, grams binary, freq binary"
 
 
 def _survive(t: pa.Table) -> pa.Table:
-    """Sets that share enough n-grams with others to link at all, those in global order (frequency, hash), and the prefix of that order."""
+    """Sets that share enough n-grams with others to link at all, those in global order (frequency, hash), and the prefix of that order.
+
+    ``common`` is the mean frequency of the set's n-grams: the text that others are copies of has more than they.
+    """
     keys, ns, counts, hashes, dfs = _unblob(t.column("blob").to_pylist(), True)
     posting = np.repeat(keys, counts)
     order = np.lexsort((hashes, dfs, posting))
@@ -139,10 +142,11 @@ def _survive(t: pa.Table) -> pa.Table:
     for a, b in zip(starts, ends):
         spare = int(b - a - _need(int(n[a])))
         if spare >= 0:
-            rows.append((int(posting[a]), int(n[a]), int(b - a), hashes[a : a + spare + 1].view(np.int64), hashes[a:b].tobytes(), dfs[a:b].astype(np.int32).tobytes()))
-    cols = list(zip(*rows)) or [[]] * 6
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-    return pa.table([pa.array(list(c), k) for c, k in zip(cols, types)], names=["key", "n", "shared", "prefix", "grams", "freq"])
+            common = float(dfs[a:b].sum() + n[a] - (b - a)) / float(n[a])
+            rows.append((int(posting[a]), int(n[a]), int(b - a), common, hashes[a : a + spare + 1].view(np.int64), hashes[a:b].tobytes(), dfs[a:b].astype(np.int32).tobytes()))
+    cols = list(zip(*rows)) or [[]] * 7
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+    return pa.table([pa.array(list(c), k) for c, k in zip(cols, types)], names=["key", "n", "shared", "common", "prefix", "grams", "freq"])
 
 
 def _place(hashes: np.ndarray, freq: np.ndarray) -> np.ndarray:
@@ -220,11 +224,11 @@ def _verified(survivors: DataFrame, pairs: DataFrame, pivots: np.ndarray) -> Dat
     return pairs.join(overlap, ["a", "b"]).where(100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _stars(end: str):
-    """Of each n-gram's sets the smallest (or largest) as a centre; each set is held against two centres: its most and its least common n-gram's."""
+def _stars(by: str):
+    """Of each n-gram's sets the largest by ``by`` as a centre; each set is held against two centres: its most and its least common n-gram's."""
 
     def step(posts: DataFrame) -> DataFrame:
-        head = getattr(F, end)(F.struct("n", "key", "label"))
+        head = F.max(F.struct(F.col(by).alias("weight"), "n", "key", "label"))
         heads = posts.groupBy("gram").agg(head.alias("head"), F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram", "head", "m")
         small, large = F.least("n", "head.n"), F.greatest("n", "head.n")
         able = posts.join(heads, "gram").where((F.col("head.label") != F.col("label")) & (100 * small >= PERCENT * large))
@@ -268,8 +272,9 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     1. Sets are cut by range of the n-gram hash.  Each range counts its n-grams' document frequencies; n-grams of one set are dropped.
     2. A set that shares less than 80% of its n-grams with any others can't link and goes.  The rest stand in global order: frequency, then hash.
-    3. Prefix filter: sets that link share an n-gram among the first that could be spared.  Each set is first held against the smallest
-       set of its most and of its least common such n-gram, then likewise against the largest: two pairs a set.
+    3. Prefix filter: sets that link share an n-gram among the first that could be spared.  Each set is first held against the set with
+       the commonest n-grams (the text that near copies come from) of its most and of its least common such n-gram, then likewise
+       against the largest: two pairs a set.
     4. Overlaps are counted by fragment of the global order (cut at quantiles) and summed per pair; links are joined to components.
     5. Of the n-grams whose sets are still in different components all pairs across components that share enough of them are held against
        each other; pairs within a component can't change the result.  So a large group of near copies needs a few pairs a member.
@@ -296,11 +301,11 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     places = np.concatenate([np.zeros(0, dtype=np.uint64), *(_place(np.frombuffer(r["grams"], dtype=np.uint64), np.frombuffer(r["freq"], dtype=np.int32))[:: max(1, len(sample) * (len(r["grams"]) // 8) // PIVOT_SAMPLE)] for r in sample)])
     pivots = np.quantile(places, np.arange(1, fragments) / fragments, method="nearest") if len(places) else np.arange(1, fragments, dtype=np.uint64)
 
-    posted = survivors.select("key", "n", "shared", F.explode("prefix").alias("gram")).select("gram", "key", "n")
+    posted = survivors.select(F.explode("prefix").alias("gram"), "key", "n", "common")
     posts = Stage(posted.withColumn("label", F.col("key")), "posts")
     tried: list[Stage] = []
     links: list[Stage] = []
-    for step in (_stars("min"), _stars("max"), _crossed):
+    for step in (_stars("common"), _stars("n"), _crossed):
         asked = step(posts.df)
         for earlier in tried:
             asked = asked.join(earlier.df, ["a", "b"], "left_anti")
