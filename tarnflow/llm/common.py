@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnflow.materialise import Stage as Stage  # the operators take it from here
 from tarnflow.session import ship_code
 
 #: Fixed value: the white space of every contract here (space and U+0009 to U+000D).
 WHITE = " \t\n\x0b\x0c\r"
 #: Fixed value: a word is a run of anything else, as a Java and RE2 pattern.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,63 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir where the session has it."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tarnflow-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-_open: dict[str, SparkSession] = {}
-
-
-@atexit.register
-def _leave() -> None:
-    for path, spark in list(_open.items()):
-        with contextlib.suppress(Exception):
-            _delete(spark, path)
-
-
-class Stage:
-    """A DataFrame written as Parquet in the shared folder.
-
-    Cuts the lineage with a replicated copy, so a lost executor costs no recomputation beyond the running
-    stage, and the shuffle files behind it are removed as soon as it is written.
-    """
-
-    def __init__(self, df: DataFrame, label: str) -> None:
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/tarnflow-{label}-{uuid.uuid4().hex}"
-        _open[self.path] = self.spark
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
-        try:
-            df.write.parquet(self.path)
-        finally:
-            self.spark.conf.set(CLEANUP, before)
-        self.schema = df.schema
-
-    @property
-    def df(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        """Delete the files; nothing may read the table afterwards."""
-        if _open.pop(self.path, None):
-            _delete(self.spark, self.path)
-            gc.collect()
-
-
 def blank_to_empty(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
