@@ -125,6 +125,8 @@ def _share(groups: int):
 
 
 SURVIVOR = "key long, n int, shared int, common double, prefix array<long>, grams binary, freq binary"
+#: A posting: at this n-gram the set can still link with sets of at most ``reach`` n-grams, as all later ones of it are not enough for larger ones.
+REACH = f"(100 + {PERCENT}) * (shared - place) DIV {PERCENT} - n"
 
 
 def _survive(t: pa.Table) -> pa.Table:
@@ -246,16 +248,18 @@ def _pairs(x, y, rows: DataFrame) -> DataFrame:
 
 
 def _crossed(posts: DataFrame) -> DataFrame:
-    """All pairs from different components that share enough prefix n-grams.
+    """All pairs from different components that could link by their place at a common prefix n-gram.
 
-    Of the set whose prefix ends first every common n-gram is a common prefix n-gram or lies behind its prefix, where need(n) - 1 are left.
+    At the first n-gram common to two sets that link, what is left of either (it included) is at least their overlap, so neither is
+    larger than the other's reach there.  Sets edited so much that they reach no set in the n-gram leave before the join.
     """
+    for _ in range(2):
+        least = posts.groupBy("gram").agg(F.min("n").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram", "least")
+        posts = posts.join(least, "gram").where("reach >= least").drop("least")
     x, y = posts.alias("x"), posts.alias("y")
     apart = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & (F.struct("x.n", "x.key") < F.struct("y.n", "y.key"))
-    close = 100 * F.col("x.n") >= PERCENT * F.col("y.n")
-    shared = x.join(y, apart & close).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("k"))
-    behind = F.floor((PERCENT * F.col("nb") + 99) / 100) - 1
-    return shared.where((100 + PERCENT) * (F.col("k") + behind) >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+    within = (F.col("x.n") <= F.col("y.reach")) & (F.col("y.n") <= F.col("x.reach"))
+    return x.join(y, apart & within).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
 
 
 def _all(stages: list[Stage]) -> DataFrame:
@@ -301,8 +305,8 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     places = np.concatenate([np.zeros(0, dtype=np.uint64), *(_place(np.frombuffer(r["grams"], dtype=np.uint64), np.frombuffer(r["freq"], dtype=np.int32))[:: max(1, len(sample) * (len(r["grams"]) // 8) // PIVOT_SAMPLE)] for r in sample)])
     pivots = np.quantile(places, np.arange(1, fragments) / fragments, method="nearest") if len(places) else np.arange(1, fragments, dtype=np.uint64)
 
-    posted = survivors.select(F.explode("prefix").alias("gram"), "key", "n", "common")
-    posts = Stage(posted.withColumn("label", F.col("key")), "posts")
+    posted = survivors.select(F.posexplode("prefix").alias("place", "gram"), "key", "n", "shared", "common").withColumn("reach", F.expr(REACH))
+    posts = Stage(posted.select("gram", "key", "n", "common", "reach", F.col("key").alias("label")), "posts")
     tried: list[Stage] = []
     links: list[Stage] = []
     for step in (_stars("common"), _stars("n"), _crossed):
