@@ -17,7 +17,8 @@ WORDS = 5
 PERCENT = 80
 #: Shingles that a task holds at once, about.
 TASK_SHINGLES = 2_000_000
-FLUSH = 1_000_000
+FLUSH = 500_000
+SLICE = 512
 TASK_PAIRS = 2_000_000
 #: Pivots are quantiles of so many n-grams at most.
 PIVOT_SAMPLE = 50_000
@@ -29,9 +30,16 @@ def _need(n):
     return (PERCENT * n + 99) // 100
 
 
+def _slices(batches):
+    """Arrow batches in short pieces, so that few texts or sets are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _doc_sets(words: int):
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             ns, keys = [], []
             for s in shingle_sets(batch.column("text").to_pylist(), words):
                 ns.append(len(s))
@@ -65,8 +73,8 @@ def _scatter(words: int, buckets: int):
 
     def flush(sets: dict[int, np.ndarray]):
         keys, sizes = np.array(list(sets), dtype=np.int64), np.array([len(s) for s in sets.values()])
-        hashes, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(keys)), sizes)
-        bucket = (hashes // np.uint64(width)).astype(np.int64)
+        hashes, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(keys), dtype=np.int32), sizes)
+        bucket = (hashes // np.uint64(width)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         hashes, owner, bucket = hashes[order], owner[order], bucket[order]
         cuts = np.flatnonzero(np.diff(bucket)) + 1
@@ -79,7 +87,7 @@ def _scatter(words: int, buckets: int):
     def run(batches):
         sets: dict[int, np.ndarray] = {}
         held = 0
-        for batch in batches:
+        for batch in _slices(batches):
             for s in shingle_sets(batch.column("text").to_pylist(), words):
                 if len(s) and (key := set_key(s)) not in sets:
                     sets[key] = s
@@ -106,13 +114,18 @@ def _share(groups: int):
         order = np.argsort(hashes)
         ordered = hashes[order]
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        df = np.empty(len(hashes), dtype=np.int64)
-        df[order] = np.repeat(np.diff(np.append(starts, len(hashes))), np.diff(np.append(starts, len(hashes))))
+        del ordered
+        times = np.diff(np.append(starts, len(hashes))).astype(np.int32)
+        df = np.empty(len(hashes), dtype=np.int32)
+        df[order] = np.repeat(times, times)
+        del order
         shared = df > 1
-        owner = np.repeat(np.arange(len(keys)), counts)[shared]
-        group = (keys[owner].view(np.uint64) % np.uint64(groups)).astype(np.int64)
+        owner = np.repeat(np.arange(len(keys), dtype=np.int32), counts)[shared]
+        hashes, df = hashes[shared], df[shared]
+        group = (keys.view(np.uint64) % np.uint64(groups)).astype(np.int32)[owner]
         order = np.argsort(group, kind="stable")
-        owner, group, h, d = owner[order], group[order], hashes[shared][order], df[shared][order]
+        owner, group, h, d = owner[order], group[order], hashes[order], df[order]
+        del order, hashes, df
         rows = []
         cuts = np.flatnonzero(np.diff(group)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(group)]):
@@ -160,7 +173,7 @@ def _segments(pivots: np.ndarray):
     """A set's n-grams cut at the pivots, a row a fragment."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[tuple] = []
             for key, slot, grams, freq in zip(*(batch.column(c).to_pylist() for c in ("key", "slot", "grams", "freq"))):
                 h = np.frombuffer(grams, dtype=np.uint64)

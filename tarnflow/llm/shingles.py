@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Bytes of text that are hashed at once.
-CHUNK = 2 << 20
+CHUNK = 512 << 10
 _rng = np.random.default_rng(0x5EED)
 _BYTE = _rng.integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
