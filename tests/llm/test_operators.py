@@ -154,6 +154,24 @@ def test_shingles(docs):
     assert len(set(want.values())) < len(want) - 20
 
 
+def test_ngram_join_of_copies_around_the_threshold(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for c in range(6):
+        texts.append([f"w{c}x{i}" for i in range(90)])
+        for k in range(40):  # of the first text or of any copy, up to a tenth edited or cut: many pairs link narrowly or just fail
+            words = list(texts[-1 - int(rng.integers(0, k + 1))] if k % 2 else texts[-1 - k])
+            for at in rng.integers(0, len(words), int(rng.integers(1, 4))):
+                words[at] = f"e{c}x{k}x{at}"
+            texts.append(words[: len(words) - int(rng.integers(0, 6))])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = _roots(range(len(sets)), links)
+    assert 20 < len(set(want.values())) < 200
+    got = _rows(shingle_components(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {i: (len(s), want[i]) for i, s in enumerate(sets)}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((300, 24))
