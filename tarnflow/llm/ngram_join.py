@@ -293,8 +293,8 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
        the commonest n-grams (the text that near copies come from) of its most and of its least common such n-gram, then likewise
        against the largest: two pairs a set.
     4. Overlaps are counted by fragment of the global order (cut at quantiles) and summed per pair; links are joined to components.
-    5. Of the n-grams whose sets are still in different components all pairs across components that share enough of them are held against
-       each other; pairs within a component can't change the result.  So a large group of near copies needs a few pairs a member.
+    5. Of the n-grams whose sets are still in different components all pairs across components that could link by their places in both
+       sets are held against each other; pairs within a component can't change the result.  So a large group of near copies needs a few pairs a member.
 
     Null and empty texts and texts without words have no shingles, link with nothing and are their own component; fewer than ``words`` words are one
     shingle.  Repeated rows are equal sets.  A null id never names a component that has another.  An empty table gives no rows;
