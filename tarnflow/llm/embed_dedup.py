@@ -1,8 +1,9 @@
-"""Near-duplicate embeddings by product quantisation: coarse inverted lists, residual codes, table lookups, exact cosine rerank."""
+"""Near-duplicate embeddings by product quantisation: coarse inverted lists, residual codes, exact cosine rerank."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,10 @@ COSINE = 0.9
 FIT_ROWS = 20_000
 LIST_ROWS, MAX_LISTS, LISTS_A_GROUP = 256, 4096, 16
 SUBSPACES, CODES = 8, 64
-#: Share of made-up neighbours at exactly the threshold that the probes and the cut of looked-up distances must reach each.
-COVER = 0.995
-TRIALS = 2_000
+#: A list is ruled out against so many of a query's nearest centroids; more rule out more lists and cost more, results don't change.
+WITNESSES = 8
+#: Far above the rounding errors of squared distances between unit vectors (those to decoded vectors are in single precision).
+SLACK = 1e-5
 #: Stored vectors and queries of a task at most, about.
 BLOCK, CHUNK = 4_000, 16_000
 SEED = 11
@@ -40,26 +42,59 @@ def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -
 
 @dataclass
 class Index:
-    """Coarse centroids, the group of lists each belongs to, residual codebooks, the probes and the cut of squared distances."""
+    """Coarse centroids, the group of lists each belongs to, residual codebooks, and how far apart linked unit vectors are at most.
+
+    Nothing here is estimated: lists and codes are ruled out by the triangle inequality only, so no link is lost however badly the centroids
+    and codebooks fit the vectors.
+    """
 
     coarse: np.ndarray
     group: np.ndarray
     books: np.ndarray  # subspace, code, dimension
-    probes: int
-    cut: float
-
-    @property
-    def padded(self) -> int:
-        return self.books.shape[0] * self.books.shape[2]
-
-    def lists(self, u: np.ndarray) -> np.ndarray:
-        """The lists that each vector probes, its own first."""
-        far = 0.5 * (self.coarse * self.coarse).sum(axis=1) - u @ self.coarse.T
-        if self.probes >= len(self.coarse):
-            return np.argsort(far, axis=1, kind="stable")
-        part = np.argpartition(far, self.probes - 1, axis=1)[:, : self.probes]
-        order = np.argsort(np.take_along_axis(far, part, axis=1), axis=1, kind="stable")
-        return np.take_along_axis(part, order, axis=1)
+    reach: float
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "gap"}  # each worker makes its own
+
+    @cached_property
+    def gap(self) -> np.ndarray:
+        """Distances between the centroids."""
+        square = (self.coarse * self.coarse).sum(axis=1)
+        return np.sqrt(np.maximum(square[:, None] + square - 2 * self.coarse @ self.coarse.T, 0)).astype(np.float32)
+
+    def far(self, u: np.ndarray) -> np.ndarray:
+        """Squared distances to the centroids, without the vector's own square."""
+        return (self.coarse * self.coarse).sum(axis=1) - 2 * u @ self.coarse.T
+
+    def home(self, u: np.ndarray, lists: np.ndarray | None = None) -> np.ndarray:
+        """The list of the nearest centroid (of those of ``lists``), which stores the vector."""
+        lists = np.arange(len(self.coarse)) if lists is None else lists
+        near = [self.far(u[at : at + 1024])[:, lists].argmin(axis=1) for at in range(0, len(u), 1024)]
+        return lists[np.concatenate([np.zeros(0, dtype=np.int64), *near])]
+
+    def asks(self, u: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """Which of the lists may store a vector that links with each of ``u``.
+
+        What list l stores is no nearer to any other centroid j.  With a vector of u at most ``reach`` off, l's squared distance from u exceeds
+        j's by 2 reach |l - j| at most.
+        """
+        out = np.ones((len(u), len(lists)), dtype=bool)
+        for at in range(0, len(u), 1024):
+            far = self.far(u[at : at + 1024])
+            n = min(WITNESSES, far.shape[1])
+            own, rows = far[:, lists], np.arange(len(far))
+            for j in np.argpartition(far, n - 1, axis=1)[:, :n].T:
+                out[at : at + 1024] &= own - far[rows, j][:, None] <= 2 * self.reach * self.gap[j[:, None], lists] + SLACK
+        return out
+
+    def groups(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The group that stores each vector, and which groups it asks."""
+        order = np.argsort(self.group, kind="stable")
+        held, starts = np.unique(self.group[order], return_index=True)
+        out = np.zeros((len(u), self.group.max() + 1), dtype=bool)
+        for at in range(0, len(u), 1024):
+            out[at : at + 1024, held] = np.logical_or.reduceat(self.asks(u[at : at + 1024], order), starts, axis=1)
+        return self.group[self.home(u)], out
 
     def _split(self, residual: np.ndarray) -> np.ndarray:
         m, _, d = self.books.shape
@@ -69,50 +104,37 @@ class Index:
         parts = self._split(residual)
         return np.stack([(0.5 * (b * b).sum(axis=1) - parts[:, m] @ b.T).argmin(axis=1) for m, b in enumerate(self.books)], axis=1)
 
-    def tables(self, residual: np.ndarray) -> np.ndarray:
-        """Squared distances from each query's residual to every code, a table a subspace."""
-        parts = self._split(residual)
-        return np.stack([(parts[:, m] ** 2).sum(axis=1)[:, None] - 2 * parts[:, m] @ b.T + (b * b).sum(axis=1) for m, b in enumerate(self.books)], axis=1)
-
-    def distances(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Looked-up squared distances, one side exact and the other by its codes."""
-        t = self.tables(queries).astype(np.float32)
-        out = np.zeros((len(queries), len(codes)), dtype=np.float32)
-        for m in range(codes.shape[1]):
-            out += t[:, m, :][:, codes[:, m]]
-        return out
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        """Residuals that the codes stand for, padded as by ``_split``."""
+        return self.books[np.arange(codes.shape[1]), codes]
 
+    def near(self, queries: np.ndarray, stored: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a list's residuals that may link: by the distance of one side to the other's codes, off by the codes' own error at most.
 
-def fit(u: np.ndarray, rows: int, cosine: float = COSINE, seed: int = SEED) -> Index:
-    """An index for ``rows`` vectors from a sample of unit vectors.
+        All distances to decoded vectors are one matrix product, which is many times faster than summing looked-up tables pair by pair.
+        """
+        parts = self._split(stored)
+        decoded = self.decoded(self.codes(stored))
+        error = np.linalg.norm((parts - decoded).reshape(len(stored), -1), axis=1)
+        decoded = decoded.reshape(len(stored), -1)
+        queries = self._split(queries).reshape(len(queries), -1)
+        bound = (self.reach + error) ** 2 + SLACK - (decoded * decoded).sum(axis=1)
+        far = queries.astype(np.float32) @ (-2 * decoded).astype(np.float32).T
+        return np.nonzero(far + (queries * queries).sum(axis=1, dtype=np.float64).astype(np.float32)[:, None] <= bound.astype(np.float32))
 
-    Probes and cut come from made-up neighbours: sample vectors turned by exactly the threshold's angle in a random direction, the farthest
-    that may link.  Both are set to reach COVER of them.
-    """
+
+def fit(u: np.ndarray, rows: int, cosine: float = COSINE, seed: int = SEED) -> Index:
+    """An index for ``rows`` vectors from a sample of unit vectors."""
     rng = np.random.default_rng(seed)
     k = int(min(MAX_LISTS, max(1, len(u) // 8), 1 << max(0, round(np.log2(max(1, rows) / LIST_ROWS)))))
     coarse = _k_means(u, k, rng)
     groups = max(1, k // LISTS_A_GROUP)
     tops = _k_means(coarse, groups, rng)
     group = (coarse @ tops.T - 0.5 * (tops * tops).sum(axis=1)).argmax(axis=1)
-    index = Index(coarse, group, np.zeros((SUBSPACES, 1, -(-u.shape[1] // SUBSPACES))), k, np.inf)
-    own = index.lists(u)[:, 0]
-    parts = index._split(u - coarse[own])
+    index = Index(coarse, group, np.zeros((SUBSPACES, 1, -(-u.shape[1] // SUBSPACES))), float(np.sqrt(max(0.0, 2 - 2 * cosine))))
+    parts = index._split(u - coarse[index.home(u)])
     codes = min(CODES, len(u))
     index.books = np.stack([_k_means(parts[:, m], codes, rng) for m in range(SUBSPACES)])
-    q = u[rng.choice(len(u), size=min(TRIALS, len(u)), replace=False)]
-    turn = rng.standard_normal(q.shape)
-    turn -= (turn * q).sum(axis=1)[:, None] * q
-    size = np.linalg.norm(turn, axis=1)
-    q, turn = q[size > 1e-9], turn[size > 1e-9] / size[size > 1e-9, None]
-    if len(q):
-        s = cosine * q + np.sqrt(1 - cosine * cosine) * turn
-        home = index.lists(s)[:, 0]
-        ranks = (index.lists(q) == home[:, None]).argmax(axis=1) + 1
-        index.probes = int(np.ceil(np.quantile(ranks, COVER)))
-        residual = q - coarse[home]
-        t, c = index.tables(residual), index.codes(s - coarse[home])
-        index.cut = float(np.quantile(t[np.arange(len(q))[:, None], np.arange(SUBSPACES), c].sum(axis=1), COVER))
     return index
 
 
@@ -156,11 +178,9 @@ def _load(index, dims: int, wide: bool):
         ix = index.value
         stored, asked = np.zeros(ix.group.max() + 1, dtype=np.int64), np.zeros(ix.group.max() + 1, dtype=np.int64)
         for batch in batches:
-            lists = ix.lists(unit(_matrix(batch.column("vector").to_pylist(), dims, wide)))
-            groups = ix.group[lists]
-            stored += np.bincount(groups[:, 0], minlength=len(stored))
-            for g in range(len(asked)):
-                asked[g] += (groups == g).any(axis=1).sum()
+            home, asks = ix.groups(unit(_matrix(batch.column("vector").to_pylist(), dims, wide)))
+            stored += np.bincount(home, minlength=len(stored))
+            asked += asks.sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(stored))), pa.array(stored), pa.array(asked)], ["g", "stored", "asked"])
 
     return run
@@ -173,15 +193,15 @@ def _deal(index, load: dict[int, tuple[int, int]], dims: int, wide: bool):
         ix = index.value
         for batch in batches:
             keys, weights, vectors = (batch.column(c).to_pylist() for c in ("key", "weight", "vector"))
-            groups = ix.group[ix.lists(unit(_matrix(vectors, dims, wide)))]
+            homes, asks = ix.groups(unit(_matrix(vectors, dims, wide)))
             out: list[tuple] = []
-            for key, weight, vector, probed in zip(keys, weights, vectors, groups):
+            for key, weight, vector, home, asked_groups in zip(keys, weights, vectors, homes.tolist(), asks):
                 spread = key & 0xFFFFFFFF
-                for g in dict.fromkeys(probed.tolist()):
+                for g in np.flatnonzero(asked_groups).tolist():
                     stored, asked = load[g]
                     out.extend((g, b, spread % asked, False, key, weight, vector) for b in range(stored))
-                stored, asked = load[int(probed[0])]
-                out.extend((int(probed[0]), (spread >> 7) % stored, c, True, key, weight, vector) for c in range(asked))
+                stored, asked = load[home]
+                out.extend((home, (spread >> 7) % stored, c, True, key, weight, vector) for c in range(asked))
                 if len(out) >= 20_000:
                     yield _dealt(out)
                     out = []
@@ -214,10 +234,9 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _match(index, dims: int, wide: bool, cosine: float):
-    """In a cell: links found, counted for both ends, and a spanning set of them.
+    """In a cell: links found, counted for the query, and a spanning set of them.
 
-    A query finds what is stored in the lists that it probes.  Where the stored vector doesn't probe the query's own list, no other cell finds
-    the pair, so it counts for both here; else each counts it where it is the query.
+    A query finds all that it links with in the lists that it asks, so either end of a link counts it where it is the query.
     """
 
     def run(t: pa.Table) -> pa.Table:
@@ -229,17 +248,17 @@ def _match(index, dims: int, wide: bool, cosine: float):
         s, q = np.flatnonzero(role), np.flatnonzero(~role)
         names, place = np.unique(key, return_inverse=True)
         links = np.zeros(len(names), dtype=np.int64)
-        lists = ix.lists(u)
+        lists = np.flatnonzero(ix.group == g)
+        home, asks = ix.home(u[s], lists), ix.asks(u[q], lists)
         ends_a, ends_b = [], []
-        for l in np.flatnonzero(ix.group == g):
-            held = s[lists[s, 0] == l]
-            askers = q[(lists[q] == l).any(axis=1)]
+        for at_list, l in enumerate(lists):
+            held, askers = s[home == l], q[asks[:, at_list]]
             if not len(held) or not len(askers):
                 continue
-            codes = ix.codes(u[held] - ix.coarse[l])
+            residual = u[held] - ix.coarse[l]
             for at in range(0, len(askers), 1024):
                 part = askers[at : at + 1024]
-                i, j = np.nonzero(ix.distances(u[part] - ix.coarse[l], codes) <= ix.cut)
+                i, j = ix.near(u[part] - ix.coarse[l], residual)
                 a, b = part[i], held[j]
                 other = key[a] != key[b]
                 a, b = a[other], b[other]
@@ -248,8 +267,6 @@ def _match(index, dims: int, wide: bool, cosine: float):
                     near = np.einsum("ij,ij->i", u[x], u[y]) >= cosine
                     x, y = x[near], y[near]
                     np.add.at(links, place[x], weight[y])
-                    one_way = ~(lists[y] == lists[x, :1]).any(axis=1)
-                    np.add.at(links, place[y[one_way]], weight[x[one_way]])
                     ends_a.append(place[x])
                     ends_b.append(place[y])
         a, b = (np.concatenate([np.zeros(0, dtype=np.int64), *z]) for z in (ends_a, ends_b))
@@ -263,9 +280,9 @@ def _match(index, dims: int, wide: bool, cosine: float):
 def embedding_components(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = FIT_ROWS) -> DataFrame:
     """One row per input row: ``vec_id, n_links, component_id, kept``.
 
-    Identical vectors are one vector with a weight.  The index (coarse lists, residual codebooks, probes) is fitted on a bounded sample; every vector is
-    stored in its list and asks the lists that it probes.  Lists are dealt in groups, hot groups in blocks and chunks of bounded size.
-    Candidates by table lookup are reranked by their exact cosine in double precision; links are counted in the cells, never emitted as
+    Identical vectors are one vector with a weight.  The index (coarse lists, residual codebooks) is fitted on a bounded sample; every vector is
+    stored in its list and asks all lists that may store one it links with, so links are complete.  Lists are dealt in groups, hot groups in blocks and chunks of bounded size.
+    Candidates by their codes are reranked by their exact cosine in double precision; links are counted in the cells, never emitted as
     pairs, and each cell hands on a spanning set of its links for the components.
 
     Vectors that are null, zero, of another length than the most common one, or that hold null or non-finite components link with

@@ -274,3 +274,25 @@ def test_empty_tables(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     for df in (exact_dedup(none), shard.hilbert_shards(none), mix_sources(none), line_dedup(none), shingle_components(none), pack.pack(none), quality.score_quality(none, labels), embedding_components(vectors), html_extract.extract_pages(pages), warc.derivative_records(warc.responses_of_pages(pages))):
         assert df.count() == 0
+
+
+def _vectors_of(kind):
+    rng = np.random.default_rng(7)
+    if kind == "few dimensions":
+        return rng.standard_normal((6000, 6)) @ rng.standard_normal((6, 64))
+    far = rng.standard_normal((4000, 64))  # a third of all vectors lies around one, in few directions
+    return np.concatenate([far, rng.standard_normal(64) + rng.standard_normal((2000, 5)) @ rng.standard_normal((5, 64)) * 0.3])
+
+
+@pytest.mark.parametrize("kind", ["few dimensions", "hot cluster"])
+def test_embedding_links_are_complete(spark, kind):
+    x = _vectors_of(kind)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = _rows(embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)), "vec_id")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    a, b = np.nonzero(u @ u.T >= 0.9)
+    a, b = a[a != b], b[a != b]
+    assert len(a) > 1000
+    n_links = np.bincount(a, minlength=len(x))
+    want = _roots(range(len(x)), zip(a.tolist(), b.tolist()))
+    assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {i: (n_links[i], want[i]) for i in range(len(x))}
