@@ -25,13 +25,12 @@ HINTS = frozenset(
     "gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promotion recommend recommendations recommended register related replies "
     "reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets alert warning feedback rating ratings reviews".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form toolbar".split())
 #: A start tag of the first kind ends an open one of the second, up to one of the third.
 IMPLIED = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table tbody thead tfoot"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 #: Paths a host puts forward at most; a constant of the vote, pages that none of them fits choose for themselves.
 HOST_PATHS = 3
-#: A host's path counts on a page if it holds this share of what the page's own best container holds.
-FIT = 0.5
 #: Winners of so many hosts at most are broadcast (200 bytes each, about); more are joined by shuffle.
 BROADCAST_HOSTS = 50_000
 
@@ -47,6 +46,7 @@ class Page:
     def __init__(self, source: str) -> None:
         self.parent, self.tag, self.step, self.off = [-1], [""], [""], [False]
         self.text: list[tuple[int, int, bool, str]] = []  # element, block, in a link, text
+        self._own: list[int] | None = None
         self._stack, self._block, self._links = [0], 0, 0
         self._paths: dict[int, str] = {0: ""}
         at, size = 0, len(source)
@@ -163,11 +163,38 @@ class Page:
                     out[self._container(self.parent[own])] += n / 2
         return out
 
-    def best(self) -> tuple[str, float]:
-        """The path of the best container, moved out to the article or main element that it lies in."""
+    def unlinked(self) -> list[int]:
+        """Characters of text within each element that are no link and no boilerplate."""
+        if self._own is None:
+            self._own = [0] * len(self.tag)
+            for node, _, linked, text in self.text:
+                if not linked and not self.off[node]:
+                    self._own[node] += len(text.strip())
+            for k in range(len(self.tag) - 1, 0, -1):
+                self._own[self.parent[k]] += self._own[k]
+        return self._own
+
+    def within(self, path: str) -> list[bool]:
+        """Which elements lie in elements of a path; all for the empty path."""
+        inside = [self.path(k) == path and self.tag[k] in CONTAINERS or not path for k in range(len(self.tag))]
+        for k in range(1, len(self.tag)):
+            inside[k] = inside[k] or inside[self.parent[k]]
+        return inside
+
+    def held(self, path: str) -> int:
+        """Unlinked text within the elements of a path."""
+        inside, n = self.within(path), self.unlinked()
+        return sum(n[k] for k in range(len(n)) if inside[k] and (k == 0 or not inside[self.parent[k]]))
+
+    def best(self) -> tuple[str, float, str]:
+        """The path of the page's text, its score, and the path of the container that scores best in it.
+
+        The text is the article or main element around that container; without one, the lowest container around it that holds all
+        unlinked text of the page.
+        """
         found = self.scores()
         if not found:
-            return "", 0.0
+            return "", 0.0, ""
         # Containers on one path are parts of one text.
         by_path: dict[str, float] = defaultdict(float)
         first: dict[str, int] = {}
@@ -180,13 +207,25 @@ class Page:
             if self.tag[node] == "article" or (self.tag[node] == "main" and outer is None):
                 outer = node
             node = self.parent[node]
-        return (self.path(outer), score) if outer is not None else (path, score)
-
-    def extract(self, path: str) -> str:
-        """Blocks within the elements of a path, without what is boilerplate there; all elements for the empty path."""
-        inside = [self.path(k) == path and self.tag[k] in CONTAINERS or not path for k in range(len(self.tag))]
-        for k in range(1, len(self.tag)):
-            inside[k] = inside[k] or inside[self.parent[k]]
+        if outer is not None:
+            return self.path(outer), score, self.path(outer)
+        node, wide = first[path], path
+        while wide and self.held(wide) < self.unlinked()[0]:
+            node = self._container(self.parent[node])
+            wide = self.path(node)
+        return wide, score, path
+
+    def extract(self, path: str, core: str | None = None) -> str:
+        """Blocks within the elements of a path, without what is boilerplate there; all elements for the empty path.
+
+        Elements outside those of ``core`` that hold links only are left out, unless they are headings.
+        """
+        inside = self.within(path)
+        if core is not None and core != path:
+            kept, n = self.within(core), self.unlinked()
+            for k in range(1, len(self.tag)):
+                kept[k] = kept[k] or kept[self.parent[k]] or self.tag[k] in HEADINGS
+            inside = [i and (kept[k] or n[k] > 0) for k, i in enumerate(inside)]
         blocks: dict[int, list[str]] = defaultdict(list)
         for node, block, _, text in self.text:
             if inside[node] and not self.off[node]:
@@ -204,7 +243,7 @@ def host_of(url: str | None) -> str | None:
 
 def _vote(batches):
     for batch in batches:
-        rows = [(host_of(u), *Page(h).best()) for u, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())]
+        rows = [(host_of(u), *Page(h).best()[:2]) for u, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())]
         rows = [r for r in rows if r[0] and r[2] > 0]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], ["host", "path", "score"])
 
@@ -215,17 +254,13 @@ def _host(batches):
 
 
 def text_of(source: str, paths: list[str] | None) -> str:
-    """The text by the first of the host's paths that fits the page, else by the page's own best."""
+    """The text by the first of the host's paths that holds all the page's own text has, else by the page's own best."""
     page = Page(source)
-    own_path, _ = page.best()
-    own = page.extract(own_path)
+    own_path, _, core = page.best()
     for path in paths or []:
-        if path == own_path:
-            return own
-        text = page.extract(path)
-        if text and len(text) >= FIT * len(own):
-            return text
-    return own
+        if path == own_path or page.held(path) >= page.held(own_path) > 0:
+            return page.extract(path, core)
+    return page.extract(own_path, core)
 
 
 def _extract(batches):

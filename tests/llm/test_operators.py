@@ -296,3 +296,23 @@ def test_embedding_links_are_complete(spark, kind):
     n_links = np.bincount(a, minlength=len(x))
     want = _roots(range(len(x)), zip(a.tolist(), b.tolist()))
     assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {i: (n_links[i], want[i]) for i in range(len(x))}
+
+
+L, R = "Lead text. " * 40, "The rest of it. " * 40
+WHOLE = [
+    (f"<body><div class='lead'>{L}</div><div class='rest'>{R}</div></body>", [L, R]),
+    (f"<body><div id=content><h1>Title</h1><div class=body><p>{R}</div></div></body>", ["Title", R]),
+    (f"<body><div class=list><a href=/>Home</a></div><div class=story><p>{L}<table><tr><td>{R}{R}</td></tr></table><blockquote>{R}</blockquote></div><div>Last words</div></body>", [L, R + R, R, "Last words"]),
+]
+
+
+@pytest.mark.parametrize("page,want", WHOLE)
+def test_no_text_of_a_page_is_lost(page, want):
+    assert html_extract.text_of(page, None).split("\n") == [x.strip() for x in want]
+
+
+def test_paths_of_a_host_lose_no_text(spark):
+    narrow = f"<body><div class=body><p>{R}</div></body>"
+    rows = [(i, "http://c.org/", narrow) for i in range(5)] + [(5 + i, "http://c.org/", p) for i, (p, _) in enumerate(WHOLE)]
+    got = _rows(html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert all(got[5 + i]["text"].split("\n") == [x.strip() for x in want] for i, (_, want) in enumerate(WHOLE))
