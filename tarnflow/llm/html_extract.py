@@ -25,6 +25,8 @@ HINTS = frozenset(
     "gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promotion recommend recommendations recommended register related replies "
     "reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets alert warning feedback rating ratings reviews".split()
 )
+#: Hint words that count even on a container with most of a page's text, which comments or a notice may well hold.
+SURE = frozenset("ad ads advert adverts advertisement comment comments consent cookie cookies discussion disqus footer gdpr nav navbar navigation newsletter paywall popup related replies reply respond responses sidebar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form toolbar".split())
 #: A start tag of the first kind ends an open one of the second, up to one of the third.
@@ -45,6 +47,7 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.parent, self.tag, self.step, self.off = [-1], [""], [""], [False]
+        self._hint = [0]  # 1: a hint word, 2: a sure one
         self.text: list[tuple[int, int, bool, str]] = []  # element, block, in a link, text
         self._own: list[int] | None = None
         self._stack, self._block, self._links = [0], 0, 0
@@ -72,6 +75,20 @@ class Page:
                 at = end.end() if end else size if name in ("script", "style") else at
             else:
                 self._open(name, m[3] if m[2] else m[6])
+        self._heed_hints()
+
+    def _heed_hints(self) -> None:
+        """Elements with hint words are off, but for those that hold most of the text, and but for pages that have no text else."""
+        most = self.unlinked()[0] / 2
+        sure, hard = self._hint, self.off
+        if not most:
+            return
+        self.off = [hard[0]]
+        for k in range(1, len(hard)):
+            self.off.append(hard[k] or self.off[self.parent[k]] or sure[k] == 2 or (sure[k] == 1 and self._own[k] <= most))
+        self._own = None
+        if not self.unlinked()[0]:
+            self.off, self._own = hard, None
 
     def _add(self, text: str) -> None:
         self.text.append((self._stack[-1], self._block, self._links > 0, text))
@@ -104,13 +121,15 @@ class Page:
         words = {p.lower() for c in (*classes, found.get("id", "")) for p in PART.findall(c)}
         hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I) is not None
         plain = name in ("html", "body", "article", "main")
-        off = self.off[above] or name in BOILERPLATE or hidden or found.get("role", "").lower() in ROLES or (bool(words & HINTS) and not (plain and not words & {"comment", "comments", "ad", "ads", "advert", "reply", "related"}))
+        off = self.off[above] or name in BOILERPLATE or hidden or found.get("role", "").lower() in ROLES
+        hinted = bool(words & HINTS) and not (plain and not words & {"comment", "comments", "ad", "ads", "advert", "reply", "related"})
         if name == "header" and not any(self.tag[k] in ("article", "main") for k in self._stack):
             off = True
         self.parent.append(above)
         self.tag.append(name)
         self.step.append(".".join([name, *sorted({DIGITS.sub("0", c.lower()) for c in classes})]))
         self.off.append(off)
+        self._hint.append(2 if hinted and words & SURE else int(hinted))
         self._stack.append(len(self.tag) - 1)
 
     def _end_paragraph(self) -> None:

@@ -316,3 +316,13 @@ def test_paths_of_a_host_lose_no_text(spark):
     rows = [(i, "http://c.org/", narrow) for i in range(5)] + [(5 + i, "http://c.org/", p) for i, (p, _) in enumerate(WHOLE)]
     got = _rows(html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
     assert all(got[5 + i]["text"].split("\n") == [x.strip() for x in want] for i, (_, want) in enumerate(WHOLE))
+
+
+@pytest.mark.parametrize("attributes", ["class='post category-legal'", "id='content' class='reviews'", "class='tags'"])
+def test_hint_words_around_most_of_the_text(attributes):
+    page = f"<body><nav>menu</nav><div {attributes}><p>{L}</p><p>{R}</p><div class=social>Share</div></div><div>A line.</div></body>"
+    assert html_extract.text_of(page, None).split("\n") == [L.strip(), R.strip(), "A line."]
+
+
+def test_hint_words_around_all_text():
+    assert html_extract.text_of(f"<body><nav>menu</nav><div id=comments><p>{L}</p></div></body>", None) == L.strip()
