@@ -67,11 +67,11 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     id_col, text_col = params.get("id_col", "doc_id"), params.get("text_col", "text")
     plan = mix_sources(docs, **params).select(F.col("doc_id").alias("_id"), "size", "whole", "part")
     joined = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_id")))
-    full = F.col("whole") + F.when(F.col("part") == F.col("size"), 1).otherwise(0)
+    full = F.col("whole") + F.when((F.col("part") == F.col("size")) & ((F.col("size") > 0) | (F.col("whole") == 0)), 1).otherwise(0)
     cut = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), 1).otherwise(0)
     copies = joined.withColumn("_copy", F.explode(F.when(full + cut > 0, F.sequence(F.lit(1), (full + cut).cast("int"))).otherwise(F.array().cast("array<int>"))))
-    words = F.split(F.trim(F.regexp_replace(F.col(text_col), r"[\x20\x09-\x0D]+", " ")), " ")
-    text = F.when(F.col("_copy") > full, F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), " ")).otherwise(F.col(text_col))
+    words = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each with the white space before it
+    text = F.when(F.col("_copy") > full, F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), "")).otherwise(F.col(text_col))
     out = copies.withColumn(text_col, text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))

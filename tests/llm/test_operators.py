@@ -326,3 +326,12 @@ def test_hint_words_around_most_of_the_text(attributes):
 
 def test_hint_words_around_all_text():
     assert html_extract.text_of(f"<body><nav>menu</nav><div id=comments><p>{L}</p></div></body>", None) == L.strip()
+
+
+def test_mix_of_empty_and_cut_documents(spark):
+    rows = [(i, "a b\n c\td\n\ne f", "x") for i in range(5)] + [(5, "", "x"), (6, None, "x"), (7, " \n", "x")] + [(8 + i, "g h", "y") for i in range(50)]
+    texts = {r[0]: r[1] for r in rows}
+    got = mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    copies = Counter(r["doc_id"] for r in got)
+    assert all(1 <= copies[i] <= 3 for i in (5, 6, 7))
+    assert all(r["text"] == texts[r["doc_id"]] or texts[r["doc_id"]].startswith(r["text"]) for r in got)
