@@ -218,13 +218,39 @@ def test_quality(spark):
     rng = np.random.default_rng(2)
     good = [" ".join(rng.choice(WORDS, int(rng.integers(20, 200)))).capitalize() + "." for _ in range(150)]
     bad = [" ".join(rng.choice(WORDS, 40)).upper() + " !!" if k % 2 else "spam " * 50 for k in range(150)]
-    rows = [(i, t) for i, t in enumerate(good + bad)] + [(300, None), (301, ""), (None, "x"), (5, good[5])]
-    labels = spark.createDataFrame([(i, int(i < 150)) for i in range(300)] + [(None, 1), (3, None)], "doc_id long, quality int")
-    got = quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()
+    rows = [(i, t, i, "clash", 2.0) for i, t in enumerate(good + bad)] + [(300, None, 1, "", 0.0), (301, "", 1, "", 0.0), (None, "x", 1, "", 0.0), (5, good[5], 1, "", 0.0), (302, "long " * 200_000, 1, "", 0.0)]
+    labels = spark.createDataFrame([(i, int(i < 150)) for i in range(300)] + [(None, 1), (3, None), (3, 7)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label long, features string, score double").repartition(3)
+    got = quality.score_quality(docs, labels, carry=("label", "features")).collect()
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
+    assert sorted((r["doc_id"] or -1, r["label"], r["features"]) for r in got) == sorted((r[0] or -1, r[2], r[3]) for r in rows)
     held = [r for r in got if r["held_out"] and r["doc_id"] < 300]
-    assert held and all(zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in held)
+    assert held and {r["doc_id"] for r in got if r["held_out"]} == {r[0] for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 == 2}
     assert np.mean([r["predicted"] == (r["doc_id"] < 150) for r in held]) > 0.95
+    assert len({r["score"] for r in got if r["doc_id"] in (300, 301)}) == 1 and len({r["score"] for r in got if r["doc_id"] == 5}) == 1
+    again = quality.score_quality(docs.repartition(5), labels).collect()
+    assert sorted((r["doc_id"] or -1, r["score"]) for r in again) == sorted((r["doc_id"] or -1, r["score"]) for r in got)
+    # The sample is bounded, and a given quantile rejects that share of all rows.
+    few = quality.training_texts(docs.select("doc_id", "text"), labels, 50).collect()
+    assert len(few) == 50 == len({r["doc_id"] for r in few})
+    half = quality.score_quality(docs, labels, max_training_rows=100, quantile=0.7).collect()
+    assert abs(np.mean([r["predicted"] for r in half]) - 0.3) < 0.05
+    none = quality.score_quality(docs, labels.where("quality = 1")).collect()
+    assert {round(r["score"], 9) for r in none} == {0.7}
+
+
+def test_quantiles_by_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        y = (rng.random(40) < 0.6).astype(int)
+        s = np.round(y + rng.standard_normal(40), 1 + int(rng.integers(3)))
+        q = quality.best_quantile(s, y)
+        agree = lambda cut: (s[y == 1] > cut).sum() / max(1, (y == 1).sum()) + (s[y == 0] <= cut).sum() / max(1, (y == 0).sum())
+        assert 0 <= q <= 1 and agree(quality.at_quantile(s, q)) >= max(agree(c) for c in [-9, *s]) - 0.15
+        pairs = [(a > b) + 0.5 * (a == b) for a in s[y == 1] for b in s[y == 0]]
+        assert abs(quality.pair_accuracy(s, y) - np.mean(pairs)) < 1e-9
+    x = np.array([[0.0], [1.0], [2.0], [3.0]])
+    assert quality.bradley_terry(x, np.array([0, 0, 1, 1]))[0] > 0 > quality.bradley_terry(-x, np.array([0, 0, 1, 1]))[0]
 
 
 PAGES = [
