@@ -29,3 +29,23 @@ def without_white(text: Column) -> Column:
     for c in WHITE:
         out = F.replace(out, F.lit(c), F.lit(""))
     return out
+
+
+#: A key is hot from this share of all rows on, if it has so many rows.
+HOT_SHARE, HOT_ROWS = 0.002, 500
+SALTS = 64
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, key: str, by: str, how: str = "inner", n: str = "n") -> DataFrame:
+    """``rows`` joined with their groups (one row a key, ``n`` rows in each), rows of hot keys dealt to SALTS parts by a hash of ``by``.
+
+    At most 1 / HOT_SHARE keys are hot; their hashes are on the driver and their rows of ``groups`` are repeated for each part.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    hot = [r[0] for r in groups.where(F.col(n) >= max(HOT_ROWS, HOT_SHARE * total)).select(F.xxhash64(key)).distinct().collect()]
+    if not hot:
+        return rows.join(groups, key, how)
+    is_hot = F.xxhash64(key).isin(hot)
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(by, F.lit("salt")), F.lit(SALTS)).cast("int")).otherwise(0))
+    return salted.join(groups.withColumn("_salt", F.explode(parts)), [key, "_salt"], how).drop("_salt")

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.llm.common import WHITE, Stage, blank_to_empty, table
+from tarnflow.llm.common import WHITE, Stage, blank_to_empty, join_hot, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Bits a line of each filter, and the most bits of a filter (2**30: 128 MB).  Beyond 64 million lines the fixed
-#: filter lets more single lines through to the exact count; results stay the same.
+#: filter lets more single lines through to the exact count, 32 bytes each; results stay the same.
 BITS_A_LINE, MAX_BITS = 16, 1 << 30
 SLICES = 64
+#: So many confirmed lines at most are broadcast (24 bytes each); more are joined by shuffle.
+BROADCAST_KEYS = 500_000
 #: Line hashes a task holds before it hands their filter positions on.
 FLUSH = 1 << 20
 STRIP = WHITE.encode()
@@ -37,138 +39,222 @@ def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([hashes & mask, (hashes >> np.uint64(32)) & mask])
 
 
-def _seen(bits: int, min_chars: int):
+def _positions_of(hashes: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Filter positions of hashes by slice, sorted; those of a hash that is there more than once come twice."""
     width = bits // SLICES
+    once, n = np.unique(hashes, return_counts=True)
+    p = np.sort(np.concatenate([positions(once, bits).ravel(), positions(once[n > 1], bits).ravel()]))
+    cuts = np.searchsorted(p, np.arange(SLICES + 1, dtype=np.uint64) * np.uint64(width))
+    rows = [(s, (p[a:b] - np.uint64(s * width)).astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["slice", "seen"])
 
-    def flush(hashes: list[int]):
-        once, n = np.unique(np.array(hashes, dtype=np.uint64), return_counts=True)
-        # A line that two documents of this task hold is handed on twice; three times adds nothing.
-        p = np.sort(np.concatenate([positions(once, bits).ravel(), positions(once[n > 1], bits).ravel()]))
-        cuts = np.searchsorted(p, np.arange(SLICES + 1, dtype=np.uint64) * np.uint64(width))
-        rows = [(s, (p[a:b] - np.uint64(s * width)).astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["slice", "seen"])
 
+def _seen(bits: int, min_chars: int):
     def run(batches):
         hashes: list[int] = []
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 hashes.extend(map(xxhash.xxh64_intdigest, {k for k in line_keys(text, min_chars) if k is not None}))
                 if len(hashes) >= FLUSH:
-                    yield flush(hashes)
+                    yield _positions_of(np.array(hashes, dtype=np.uint64), bits)
                     hashes = []
         if hashes:
-            yield flush(hashes)
+            yield _positions_of(np.array(hashes, dtype=np.uint64), bits)
+
+    return run
+
+
+def _seen_ids(bits: int):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield _positions_of(batch.column(0).to_numpy().view(np.uint64), bits)
 
     return run
 
 
-def _merge(bits: int):
-    """First and second filter of each slice; a slice holds one saturating counter a position however much arrives."""
+def _merge(bits: int, twice: bool):
+    """The filter of what was seen, or seen twice, slice by slice; a slice holds one flag a position however much arrives."""
     width = bits // SLICES
 
     def run(batches):
-        once: dict[int, np.ndarray] = {}
-        twice: dict[int, np.ndarray] = {}
+        first: dict[int, np.ndarray] = {}
+        second: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, seen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 p = np.frombuffer(seen, dtype=np.uint32)
-                first = once.setdefault(s, np.zeros(width, dtype=bool))
-                second = twice.setdefault(s, np.zeros(width, dtype=bool))
-                second[p[first[p]]] = True
-                first[p] = True
-                second[p[1:][p[1:] == p[:-1]]] = True  # positions come sorted
-        yield pa.RecordBatch.from_arrays([pa.array(list(twice), pa.int32()), pa.array([np.packbits(x).tobytes() for x in twice.values()], pa.binary())], ["slice", "bits"])
+                once = first.setdefault(s, np.zeros(width, dtype=bool))
+                again = second.setdefault(s, np.zeros(width, dtype=bool))
+                again[p[once[p]]] = True
+                once[p] = True
+                again[p[1:][p[1:] == p[:-1]]] = True  # positions come sorted
+        out = second if twice else first
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([np.packbits(x).tobytes() for x in out.values()], pa.binary())], ["slice", "bits"])
+
+    return run
+
+
+def _filter(seen: DataFrame, bits: int, twice: bool):
+    """A broadcast filter of bits / 8 bytes."""
+    merged = seen.repartition(SLICES, "slice").mapInArrow(_merge(bits, twice), "slice int, bits binary").collect()
+    parts = {r["slice"]: bytes(r["bits"]) for r in merged}
+    return seen.sparkSession.sparkContext.broadcast(b"".join(parts.get(s, bytes(bits // SLICES // 8)) for s in range(SLICES)))
+
+
+def _bits(n: int, max_bits: int) -> int:
+    return min(max_bits, max(1 << 16, 1 << (n * BITS_A_LINE - 1).bit_length()))
+
+
+def _hits(filter_, bits: int):
+    """Whether hashes are in the filter, for arrays of them."""
+    flags = np.unpackbits(np.frombuffer(filter_.value, dtype=np.uint8)).view(bool) if bits <= 1 << 24 else None
+    packed = np.frombuffer(filter_.value, dtype=np.uint8)
+
+    def hit(p):
+        return flags[p] if flags is not None else (packed[p >> np.uint64(3)] >> (np.uint64(7) - (p & np.uint64(7))).astype(np.uint8)) & 1 > 0
+
+    def run(hashes):
+        p = positions(hashes, bits)
+        return hit(p[0]) & hit(p[1])
 
     return run
 
 
-def _suspects(filter_, bits: int, min_chars: int, schema: pa.Schema, rows: str):
-    """rows: ``keys`` gives a row for every suspected line of a document, ``clean`` and ``dirty`` the documents without and with any."""
+def digests(keys: list[bytes]) -> np.ndarray:
+    """Two 64-bit numbers a key."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+
+
+def _suspects(filter_, bits: int, min_chars: int, id_name: str):
+    """A row for every suspected line of a document."""
 
     def run(batches):
-        flags = np.unpackbits(np.frombuffer(filter_.value, dtype=np.uint8)).view(bool) if bits <= 1 << 24 else None
-        packed = np.frombuffer(filter_.value, dtype=np.uint8)
+        hits = _hits(filter_, bits)
+        for batch in batches:
+            keys = [list({k for k in line_keys(t, min_chars) if k is not None}) for t in batch.column("_text").to_pylist()]
+            flat = [k for ks in keys for k in ks]
+            bad = hits(np.fromiter(map(xxhash.xxh64_intdigest, flat), dtype=np.uint64, count=len(flat)))
+            owner = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys])[bad])
+            told = [xxhash.xxh3_128_digest(k) for k, b in zip(flat, bad) if b]
+            yield pa.RecordBatch.from_arrays([batch.column(id_name).take(owner), batch.column("_uid").take(owner), pa.array(told, pa.binary())], [id_name, "_uid", "key"])
+
+    return run
+
 
-        def hit(p):
-            return flags[p] if flags is not None else (packed[p >> np.uint64(3)] >> (np.uint64(7) - (p & np.uint64(7))).astype(np.uint8)) & 1 > 0
+def _among(filter_, bits: int, wanted: bool):
+    """The documents whose uid is in the filter, or isn't."""
 
+    def run(batches):
+        hits = _hits(filter_, bits)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            keys = [list({k for k in line_keys(t, min_chars) if k is not None}) for t in texts]
-            ends = np.cumsum([0, *map(len, keys)])
+            yield batch.filter(pa.array(hits(batch.column("_uid").to_numpy().view(np.uint64)) == wanted))
+
+    return run
+
+
+def _written(batch: pa.RecordBatch, min_chars: int, gone) -> pa.RecordBatch:
+    """The lines that stay; ``gone`` tells for a document's number and its keys which are dropped."""
+    texts = batch.column("_text").to_pylist()
+    kept, lines, lost = [], [], []
+    for i, text in enumerate(texts):
+        all_lines = text.split(b"\n")
+        drop = gone[i]
+        if drop:
+            stay = [x for x, k in zip(all_lines, line_keys(text, min_chars)) if k not in drop]
+            kept.append(b"\n".join(stay))
+            lost.append(len(all_lines) - len(stay))
+        else:
+            kept.append(text)
+            lost.append(0)
+        lines.append(len(all_lines))
+    return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_rest"), pa.array(kept, pa.binary()), pa.array(lines, pa.int64()), pa.array(lost, pa.int64())], ["_id", "_rest", "_kept", "n_lines", "n_dropped"])
+
+
+def _cut_by_keeper(found, min_chars: int):
+    """Lines that are among the broadcast ones go, but for those of their keeper."""
+
+    def run(batches):
+        high, low, keeper = found.value  # sorted by the first
+        for batch in batches:
+            ids = batch.column("_id").to_pylist()
+            keys = [[k for k in line_keys(t, min_chars) if k is not None] for t in batch.column("_text").to_pylist()]
             flat = [k for ks in keys for k in ks]
-            p = positions(np.fromiter(map(xxhash.xxh64_intdigest, flat), dtype=np.uint64, count=len(flat)), bits)
-            bad = hit(p[0]) & hit(p[1]) if flat else np.zeros(0, dtype=bool)
-            per_doc = np.add.reduceat(np.append(bad, False), ends[:-1]) * (np.diff(ends) > 0) if len(texts) else np.zeros(0)
-            if rows == "keys":
-                owner = np.repeat(np.arange(len(texts)), np.diff(ends))[bad]
-                out = [batch.column("_id").take(pa.array(owner)), batch.column("_uid").take(pa.array(owner)), pa.array([k for k, b in zip(flat, bad) if b], pa.binary())]
-                yield pa.RecordBatch.from_arrays(out, schema=pa.schema([pa.field(f.name, a.type) for f, a in zip(schema, out)]))
-            else:
-                yield batch.filter(pa.array((per_doc > 0) == (rows == "dirty")))
+            gone: list[set[bytes]] = [set() for _ in ids]
+            if flat and len(high):
+                d = digests(flat)
+                at = np.searchsorted(high, d[:, 0])
+                owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+                # Confirmed lines with the same first number stand side by side.
+                for i in np.flatnonzero(high[np.minimum(at, len(high) - 1)] == d[:, 0]):
+                    j = int(at[i])
+                    while j < len(high) and high[j] == d[i, 0]:
+                        if low[j] == d[i, 1] and ids[owner[i]] != keeper[j]:
+                            gone[owner[i]].add(flat[i])
+                        j += 1
+            yield _written(batch, min_chars, gone)
 
     return run
 
 
-def _cut(min_chars: int):
+def _cut_by_list(min_chars: int):
+    """Lines that are on the document's list go."""
+
     def run(batches):
         for batch in batches:
-            texts, dropped = batch.column("_text").to_pylist(), batch.column("_drop").to_pylist()
-            kept, lines, lost = [], [], []
-            for text, drop in zip(texts, dropped):
-                all_lines = text.split(b"\n")
-                if drop:
-                    gone = set(drop)
-                    stay = [x for x, k in zip(all_lines, line_keys(text, min_chars)) if k not in gone]
-                    kept.append(b"\n".join(stay))
-                else:
-                    stay = all_lines
-                    kept.append(text)
-                lines.append(len(all_lines))
-                lost.append(len(all_lines) - len(stay))
-            names = ["_id", "_rest", "_kept", "n_lines", "n_dropped"]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_rest"), pa.array(kept, pa.binary()), pa.array(lines, pa.int64()), pa.array(lost, pa.int64())], names)
+            gone = []
+            for text, drop in zip(batch.column("_text").to_pylist(), batch.column("_drop").to_pylist()):
+                listed = set(drop or ())
+                gone.append({k for k in line_keys(text, min_chars) if k is not None and xxhash.xxh3_128_digest(k) in listed} if listed else listed)
+            yield _written(batch, min_chars, gone)
 
     return run
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_bits: int = MAX_BITS, carry: tuple[str, ...] = ()) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, max_bits: int = MAX_BITS, carry: tuple[str, ...] = (), broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """One row per input row: ``doc_id, kept_text, n_lines, n_dropped`` and the columns in ``carry``.
 
-    A line's key is the line stripped of white space with A-Z lower-cased.  Keys of ``min_chars`` code points found in ``min_docs`` rows lose
+    A line's key is the line stripped of white space with A-Z lower-cased.  Keys of ``min_chars`` code points found in ``min_docs`` documents lose
     all their lines but those of the largest id holding them.
 
-    Tasks hand on filter positions of their distinct line hashes (8 bytes a line); the filters are merged slice by slice, and the
-    second, of a size bounded by ``max_bits``, is broadcast.  Lines it suspects are counted by their exact key, pre-aggregated before the shuffle.
-    Only texts that hold a suspected line are joined with what they lose; the others pass straight through.
+    Tasks hand on filter positions of their distinct line hashes (8 bytes a line); the filters of what is seen once and twice are merged slice by
+    slice, and the second, of a size bounded by ``max_bits``, is broadcast.  Only lines it suspects are shuffled, as 128-bit digests, and counted
+    exactly, pre-aggregated.  If at most ``broadcast_keys`` digests are confirmed they go to all tasks with the id that keeps them (integer ids
+    only), and no text is shuffled.  Beyond that the suspected lines are joined with them, hot ones split, and only texts that a filter of the documents
+    that lose lines lets through are joined with their lists.
 
-    Null and empty texts are one empty line.  Each row counts as a document, repeated rows too; rows that repeat the largest id all keep the
-    line.  Rows with a null id hold lines but keep none that is dropped elsewhere; a key that only such rows hold stays.  An empty table gives no rows;
-    other columns are ignored.
+    Null and empty texts are one empty line.  Rows that share an id are one document to be counted and keep alike.  Rows with a null id don't
+    count and keep no line that is dropped elsewhere.  An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     text = blank_to_empty(F.col(text_col))
     src = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), text).alias("_uid"), F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry)).alias("_rest"), text.cast("binary").alias("_text"))
     n_lines = docs.agg(F.sum(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
-    bits = min(max_bits, max(1 << 16, 1 << (int(n_lines) * BITS_A_LINE - 1).bit_length()))
-    seen = src.select("_text").mapInArrow(_seen(bits, min_chars), "slice int, seen binary")
-    merged = seen.repartition(SLICES, "slice").mapInArrow(_merge(bits), "slice int, bits binary").collect()  # max_bits / 8 bytes at most
-    parts = {r["slice"]: bytes(r["bits"]) for r in merged}
-    twice = spark.sparkContext.broadcast(b"".join(parts.get(s, bytes(bits // SLICES // 8)) for s in range(SLICES)))
-
-    id_type = src.schema["_id"].dataType
-    key_schema = T.StructType([T.StructField("_id", id_type), T.StructField("_uid", T.LongType()), T.StructField("key", T.BinaryType())])
-    arrow_names = pa.schema([pa.field(n, pa.null()) for n in key_schema.names])
-    suspects = Stage(src.mapInArrow(_suspects(twice, bits, min_chars, arrow_names, "keys"), key_schema), "lines-suspected")
-    heavy = suspects.df.groupBy("key").agg(F.count("*").alias("n"), F.max("_id").alias("keeper")).where((F.col("n") >= min_docs) & F.col("keeper").isNotNull())
-    lost = suspects.df.join(heavy.select("key", "keeper"), "key").where(~F.col("_id").eqNullSafe(F.col("keeper")))
-    drops = lost.groupBy(F.col("_id").alias("d_id"), F.col("_uid").alias("d_uid")).agg(F.collect_set("key").alias("_drop"))  # no longer than the document
-
-    clean = src.mapInArrow(_suspects(twice, bits, min_chars, arrow_names, "clean"), src.schema).withColumn("_drop", F.lit(None).cast("array<binary>"))
-    dirty = src.mapInArrow(_suspects(twice, bits, min_chars, arrow_names, "dirty"), src.schema)
-    dirty = dirty.join(drops, F.col("_id").eqNullSafe(F.col("d_id")) & (F.col("_uid") == F.col("d_uid")), "left").drop("d_id", "d_uid")
-    out_schema = T.StructType([T.StructField("_id", id_type), src.schema["_rest"], T.StructField("_kept", T.BinaryType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    out = clean.unionByName(dirty).mapInArrow(_cut(min_chars), out_schema)
+    bits = _bits(int(n_lines), max_bits)
+    twice = _filter(src.select("_text").mapInArrow(_seen(bits, min_chars), "slice int, seen binary"), bits, True)
+
+    id_field = T.StructField("_id", src.schema["_id"].dataType)
+    uid, key = T.StructField("_uid", T.LongType()), T.StructField("key", T.BinaryType())
+    suspects = Stage(src.mapInArrow(_suspects(twice, bits, min_chars, "_id"), T.StructType([id_field, uid, key])), "lines-suspected")
+    # Distinct documents first, each a row a task at most, so a line that a third of all hold is counted by many tasks.
+    held = suspects.df.select("key", "_id").distinct().groupBy("key").agg(F.count("_id").alias("n"), F.max("_id").alias("keeper"))
+    heavy = Stage(held.where(F.col("n") >= min_docs), "lines-confirmed")
+    out_schema = T.StructType([id_field, src.schema["_rest"], T.StructField("_kept", T.BinaryType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    whole = isinstance(id_field.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    if whole and heavy.df.count() <= broadcast_keys:
+        rows = heavy.df.select("key", F.col("keeper").cast("long")).collect()  # broadcast_keys at most
+        d = np.frombuffer(b"".join(bytes(r["key"]) for r in rows), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+        order = np.argsort(d[:, 0], kind="stable")
+        found = spark.sparkContext.broadcast((d[order, 0], d[order, 1], np.array([r["keeper"] for r in rows], dtype=np.int64)[order]))
+        out = src.select("_id", "_rest", "_text").mapInArrow(_cut_by_keeper(found, min_chars), out_schema)
+    else:
+        lost = join_hot(suspects.df, heavy.df, "key", "_uid").where(~F.col("_id").eqNullSafe(F.col("keeper")))
+        drops = Stage(lost.groupBy(F.col("_id").alias("d_id"), F.col("_uid").alias("d_uid")).agg(F.collect_set("key").alias("_drop")), "lines-dropped").df  # no longer than the document
+        few = _bits(max(1, drops.count()), max_bits)
+        losers = _filter(drops.select("d_uid").mapInArrow(_seen_ids(few), "slice int, seen binary"), few, False)
+        clean = src.mapInArrow(_among(losers, few, False), src.schema).withColumn("_drop", F.lit(None).cast("array<binary>"))
+        dirty = src.mapInArrow(_among(losers, few, True), src.schema)
+        dirty = dirty.join(drops, F.col("_id").eqNullSafe(F.col("d_id")) & (F.col("_uid") == F.col("d_uid")), "left").drop("d_id", "d_uid")
+        out = clean.unionByName(dirty).mapInArrow(_cut_by_list(min_chars), out_schema)
     return out.select(F.col("_id").alias("doc_id"), F.col("_kept").cast("string").alias("kept_text"), "n_lines", "n_dropped", *(F.col(f"_rest.{c}").alias(c) for c in carry))
 
 

@@ -16,6 +16,7 @@ from tarnflow.llm.mix import mix_sources, mixed_documents
 from tarnflow.llm.ngram_join import shingle_components
 
 WHITE = " \t\n\x0b\x0c\r"
+LOWER = {c: c + 32 for c in range(65, 91)}
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa lamda mu nu xi omicron pi rho sigma tau".split()
 
 
@@ -125,20 +126,41 @@ def test_mix(docs):
     assert all(words[i] == r["taken"] for i, r in got.items())
 
 
-def test_line_dedup(docs):
+def _lines_kept(rows):
+    """What line dedup leaves of (id, text) rows, by brute force."""
     held, keys = defaultdict(set), []
-    for i, t in enumerate(TEXTS):
-        keys.append([x.strip(WHITE).lower() for x in (t or "").split("\n")])
+    for i, t in rows:
+        keys.append([x.strip(WHITE).translate(LOWER) for x in (t or "").split("\n")])
         for k in keys[-1]:
-            if len(k) >= 20:
+            if len(k) >= 20 and i is not None:
                 held[k].add(i)
-    got = _rows(line_dedup(docs, carry=("source", "key")))
-    for i, t in enumerate(TEXTS):
+    out = []
+    for (i, t), own in zip(rows, keys):
         lines = (t or "").split("\n")
-        stay = [x for x, k in zip(lines, keys[i]) if not (len(held[k]) >= 3 and i != max(held[k]))]
-        assert (got[i]["kept_text"], got[i]["n_lines"], got[i]["n_dropped"]) == ("\n".join(stay), len(lines), len(lines) - len(stay))
-        assert got[i]["key"] == "clash"
-    assert any(r["n_dropped"] for r in got.values())
+        stay = [x for x, k in zip(lines, own) if not (len(held[k]) >= 3 and i != max(held[k]))]
+        out.append((i, "\n".join(stay), len(lines), len(lines) - len(stay)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("broadcast_keys, max_bits", [(1000, 1 << 30), (0, 1 << 30), (0, 1 << 16)])
+def test_line_dedup(docs, broadcast_keys, max_bits):
+    got = line_dedup(docs, carry=("source", "key", "n"), broadcast_keys=broadcast_keys, max_bits=max_bits).collect()
+    assert sorted(((r["doc_id"], r["kept_text"], r["n_lines"], r["n_dropped"]) for r in got), key=repr) == _lines_kept(list(enumerate(TEXTS)))
+    assert any(r["n_dropped"] for r in got) and {r["key"] for r in got} == {"clash"} and all(r["n"] == r["doc_id"] for r in got)
+
+
+@pytest.mark.parametrize("broadcast_keys", [1000, 0])
+def test_line_dedup_of_hot_lines_and_repeated_ids(spark, broadcast_keys, monkeypatch):
+    from tarnflow.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    hot, once = "A hot line that a third of all documents hold", "This line of Straße and ÄÖÜ is in few"
+    rows = [(i, f"{hot if i % 3 == 0 else i}\n{once if i % 50 == 0 else ''}\nown line number {i} of all") for i in range(300)]
+    rows += [(7, hot), (7, hot), (7, "two of the same id hold this line"), (7, "two of the same id hold this line"), (8, "two of the same id hold this line"), (None, hot), (None, "only nulls hold this long line"), (None, "only nulls hold this long line"), (None, "only nulls hold this long line")]
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), broadcast_keys=broadcast_keys).collect()
+    assert sorted(((r["doc_id"], r["kept_text"], r["n_lines"], r["n_dropped"]) for r in got), key=repr) == _lines_kept(rows)
+    names = spark.createDataFrame([(None if i is None else f"{i:05}", t) for i, t in rows], "doc_id string, text string")
+    assert sum(r["n_dropped"] for r in line_dedup(names).collect()) == sum(r["n_dropped"] for r in got)
 
 
 def test_shingles(docs):
