@@ -36,13 +36,20 @@ HOT_SHARE, HOT_ROWS = 0.002, 500
 SALTS = 64
 
 
-def join_hot(rows: DataFrame, groups: DataFrame, key: str, by: str, how: str = "inner", n: str = "n") -> DataFrame:
+def join_hot(rows: DataFrame, groups: DataFrame, key: str, by: str, how: str = "inner", n: str = "n", small: int = 0) -> DataFrame:
     """``rows`` joined with their groups (one row a key, ``n`` rows in each), rows of hot keys dealt to SALTS parts by a hash of ``by``.
 
-    At most 1 / HOT_SHARE keys are hot; their hashes are on the driver and their rows of ``groups`` are repeated for each part.
+    At most 1 / HOT_SHARE keys are hot; their hashes are on the driver.  With at most ``small`` groups they are broadcast instead.
     """
-    total = groups.agg(F.sum(n)).first()[0] or 0
-    hot = [r[0] for r in groups.where(F.col(n) >= max(HOT_ROWS, HOT_SHARE * total)).select(F.xxhash64(key)).distinct().collect()]
+    told = groups.agg(F.sum(n), F.count("*")).first()
+    if told[1] <= small:
+        return rows.join(F.broadcast(groups), key, how)
+    hot = groups.where(F.col(n) >= max(HOT_ROWS, HOT_SHARE * (told[0] or 0))).select(F.xxhash64(key)).distinct().collect()
+    return join_split(rows, groups, key, by, [r[0] for r in hot], how)
+
+
+def join_split(rows: DataFrame, groups: DataFrame, key: str, by: str, hot: list[int], how: str) -> DataFrame:
+    """The same with the hashes of the hot keys; their rows of ``groups`` are repeated for each part."""
     if not hot:
         return rows.join(groups, key, how)
     is_hot = F.xxhash64(key).isin(hot)

@@ -9,13 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnflow.llm.bloom import MAX_BITS, among, bits_for, build, hits_of, positions_of, seen_ids
 from tarnflow.llm.common import WHITE, Stage, blank_to_empty, join_hot, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Bits a line of each filter, and the most bits of a filter (2**30: 128 MB).  Beyond 64 million lines the fixed
-#: filter lets more single lines through to the exact count, 32 bytes each; results stay the same.
-BITS_A_LINE, MAX_BITS = 16, 1 << 30
-SLICES = 64
 #: So many confirmed lines at most are broadcast (24 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 500_000
 #: Line hashes a task holds before it hands their filter positions on.
@@ -33,22 +30,6 @@ def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
     return out
 
 
-def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Two filter positions a hash, side by side."""
-    mask = np.uint64(bits - 1)
-    return np.stack([hashes & mask, (hashes >> np.uint64(32)) & mask])
-
-
-def _positions_of(hashes: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Filter positions of hashes by slice, sorted; those of a hash that is there more than once come twice."""
-    width = bits // SLICES
-    once, n = np.unique(hashes, return_counts=True)
-    p = np.sort(np.concatenate([positions(once, bits).ravel(), positions(once[n > 1], bits).ravel()]))
-    cuts = np.searchsorted(p, np.arange(SLICES + 1, dtype=np.uint64) * np.uint64(width))
-    rows = [(s, (p[a:b] - np.uint64(s * width)).astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["slice", "seen"])
-
-
 def _seen(bits: int, min_chars: int):
     def run(batches):
         hashes: list[int] = []
@@ -56,66 +37,10 @@ def _seen(bits: int, min_chars: int):
             for text in batch.column(0).to_pylist():
                 hashes.extend(map(xxhash.xxh64_intdigest, {k for k in line_keys(text, min_chars) if k is not None}))
                 if len(hashes) >= FLUSH:
-                    yield _positions_of(np.array(hashes, dtype=np.uint64), bits)
+                    yield positions_of(np.array(hashes, dtype=np.uint64), bits)
                     hashes = []
         if hashes:
-            yield _positions_of(np.array(hashes, dtype=np.uint64), bits)
-
-    return run
-
-
-def _seen_ids(bits: int):
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield _positions_of(batch.column(0).to_numpy().view(np.uint64), bits)
-
-    return run
-
-
-def _merge(bits: int, twice: bool):
-    """The filter of what was seen, or seen twice, slice by slice; a slice holds one flag a position however much arrives."""
-    width = bits // SLICES
-
-    def run(batches):
-        first: dict[int, np.ndarray] = {}
-        second: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, seen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                p = np.frombuffer(seen, dtype=np.uint32)
-                once = first.setdefault(s, np.zeros(width, dtype=bool))
-                again = second.setdefault(s, np.zeros(width, dtype=bool))
-                again[p[once[p]]] = True
-                once[p] = True
-                again[p[1:][p[1:] == p[:-1]]] = True  # positions come sorted
-        out = second if twice else first
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([np.packbits(x).tobytes() for x in out.values()], pa.binary())], ["slice", "bits"])
-
-    return run
-
-
-def _filter(seen: DataFrame, bits: int, twice: bool):
-    """A broadcast filter of bits / 8 bytes."""
-    merged = seen.repartition(SLICES, "slice").mapInArrow(_merge(bits, twice), "slice int, bits binary").collect()
-    parts = {r["slice"]: bytes(r["bits"]) for r in merged}
-    return seen.sparkSession.sparkContext.broadcast(b"".join(parts.get(s, bytes(bits // SLICES // 8)) for s in range(SLICES)))
-
-
-def _bits(n: int, max_bits: int) -> int:
-    return min(max_bits, max(1 << 16, 1 << (n * BITS_A_LINE - 1).bit_length()))
-
-
-def _hits(filter_, bits: int):
-    """Whether hashes are in the filter, for arrays of them."""
-    flags = np.unpackbits(np.frombuffer(filter_.value, dtype=np.uint8)).view(bool) if bits <= 1 << 24 else None
-    packed = np.frombuffer(filter_.value, dtype=np.uint8)
-
-    def hit(p):
-        return flags[p] if flags is not None else (packed[p >> np.uint64(3)] >> (np.uint64(7) - (p & np.uint64(7))).astype(np.uint8)) & 1 > 0
-
-    def run(hashes):
-        p = positions(hashes, bits)
-        return hit(p[0]) & hit(p[1])
+            yield positions_of(np.array(hashes, dtype=np.uint64), bits)
 
     return run
 
@@ -129,7 +54,7 @@ def _suspects(filter_, bits: int, min_chars: int, id_name: str):
     """A row for every suspected line of a document."""
 
     def run(batches):
-        hits = _hits(filter_, bits)
+        hits = hits_of(filter_, bits)
         for batch in batches:
             keys = [list({k for k in line_keys(t, min_chars) if k is not None}) for t in batch.column("_text").to_pylist()]
             flat = [k for ks in keys for k in ks]
@@ -141,17 +66,6 @@ def _suspects(filter_, bits: int, min_chars: int, id_name: str):
     return run
 
 
-def _among(filter_, bits: int, wanted: bool):
-    """The documents whose uid is in the filter, or isn't."""
-
-    def run(batches):
-        hits = _hits(filter_, bits)
-        for batch in batches:
-            yield batch.filter(pa.array(hits(batch.column("_uid").to_numpy().view(np.uint64)) == wanted))
-
-    return run
-
-
 def _written(batch: pa.RecordBatch, min_chars: int, gone) -> pa.RecordBatch:
     """The lines that stay; ``gone`` tells for a document's number and its keys which are dropped."""
     texts = batch.column("_text").to_pylist()
@@ -229,8 +143,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = blank_to_empty(F.col(text_col))
     src = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), text).alias("_uid"), F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry)).alias("_rest"), text.cast("binary").alias("_text"))
     n_lines = docs.agg(F.sum(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
-    bits = _bits(int(n_lines), max_bits)
-    twice = _filter(src.select("_text").mapInArrow(_seen(bits, min_chars), "slice int, seen binary"), bits, True)
+    bits = bits_for(int(n_lines), max_bits)
+    twice = build(src.select("_text").mapInArrow(_seen(bits, min_chars), "slice int, seen binary"), bits, True)
 
     id_field = T.StructField("_id", src.schema["_id"].dataType)
     uid, key = T.StructField("_uid", T.LongType()), T.StructField("key", T.BinaryType())
@@ -249,10 +163,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         lost = join_hot(suspects.df, heavy.df, "key", "_uid").where(~F.col("_id").eqNullSafe(F.col("keeper")))
         drops = Stage(lost.groupBy(F.col("_id").alias("d_id"), F.col("_uid").alias("d_uid")).agg(F.collect_set("key").alias("_drop")), "lines-dropped").df  # no longer than the document
-        few = _bits(max(1, drops.count()), max_bits)
-        losers = _filter(drops.select("d_uid").mapInArrow(_seen_ids(few), "slice int, seen binary"), few, False)
-        clean = src.mapInArrow(_among(losers, few, False), src.schema).withColumn("_drop", F.lit(None).cast("array<binary>"))
-        dirty = src.mapInArrow(_among(losers, few, True), src.schema)
+        few = bits_for(max(1, drops.count()), max_bits)
+        losers = build(drops.select("d_uid").mapInArrow(seen_ids(few), "slice int, seen binary"), few, False)
+        clean = src.mapInArrow(among(losers, few, False, "_uid"), src.schema).withColumn("_drop", F.lit(None).cast("array<binary>"))
+        dirty = src.mapInArrow(among(losers, few, True, "_uid"), src.schema)
         dirty = dirty.join(drops, F.col("_id").eqNullSafe(F.col("d_id")) & (F.col("_uid") == F.col("d_uid")), "left").drop("d_id", "d_uid")
         out = clean.unionByName(dirty).mapInArrow(_cut_by_list(min_chars), out_schema)
     return out.select(F.col("_id").alias("doc_id"), F.col("_kept").cast("string").alias("kept_text"), "n_lines", "n_dropped", *(F.col(f"_rest.{c}").alias(c) for c in carry))
