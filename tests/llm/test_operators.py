@@ -72,19 +72,61 @@ def test_exact_dedup(docs):
         assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"], got[i]["text_sha256"]) == (best, len(groups[t]), best == i, hashlib.sha256(t.encode()).hexdigest())
 
 
-def test_shards(docs):
-    for n in (16, 500):
-        got = _rows(shard.hilbert_shards(docs, shards=n, rank_rows=20))
-        sizes = Counter(r["shard"] for r in got.values())
-        assert len(got) == len(TEXTS) and max(sizes.values()) - (min(sizes.values()) if len(sizes) == n else 0) <= 1
-        slots = defaultdict(list)
-        for i, r in got.items():
-            slots[r["shard"]].append(r["slot"])
-            raw = (TEXTS[i] or "").encode()
-            assert (r["size"], r["text_crc32"]) == (len(raw) + 1, zlib.crc32(raw))
-        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-        order = sorted(got.values(), key=lambda r: (r["shard"], r["slot"]))
-        assert [r["curve"] for r in order] == sorted(r["curve"] for r in order)
+def _cells(values, side):
+    """Cells of values cut at the quantiles of their order, as the operator's sketch cuts small tables: exactly."""
+    ordered = sorted(values)
+    edges = {ordered[max(0, -(-i * len(ordered) // side) - 1)] for i in range(1, side)} - {ordered[-1]}
+    return lambda x: sum(x > e for e in edges) * side // (len(edges) + 1)
+
+
+@pytest.mark.parametrize("n, rank_rows", [(16, 20), (500, 20), (3, 100_000), (16, 3)])
+def test_shards(docs, n, rank_rows):
+    got = _rows(shard.hilbert_shards(docs, shards=n, rank_rows=rank_rows))
+    sizes = Counter(r["shard"] for r in got.values())
+    assert len(got) == len(TEXTS) and max(sizes.values()) - (min(sizes.values()) if len(sizes) == n else 0) <= 1
+    slots = defaultdict(list)
+    raw = [(t or "").encode() for t in TEXTS]
+    source = [("xyz"[i % 3] if i % 7 else "").encode() for i in range(len(TEXTS))]
+    of_size = _cells([len(x) + 1 for x in raw], 16)
+    names = sorted({x or b"" for x in source})
+    of_source = _cells(names, 16)
+    for i, r in got.items():
+        slots[r["shard"]].append(r["slot"])
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw[i]) + 1, zlib.crc32(raw[i]), "rows", None)
+        assert r["curve"] == shard.hilbert_index((of_size(len(raw[i]) + 1), of_source(source[i]), 0), 4)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    order = sorted(got.values(), key=lambda r: (r["shard"], r["slot"]))
+    assert [r["curve"] for r in order] == sorted(r["curve"] for r in order)
+    # Copies in one cell stand together.
+    seen, last = set(), None
+    for r in order:
+        key = (r["curve"], r["text_crc32"], r["size"])
+        assert key == last or key not in seen
+        seen.add(key)
+        last = key
+    again = _rows(shard.hilbert_shards(docs.repartition(7), shards=n, rank_rows=rank_rows))
+    assert {i: (r["shard"], r["slot"]) for i, r in again.items()} == {i: (r["shard"], r["slot"]) for i, r in got.items()}
+
+
+def test_shards_skip_files(spark, tmp_path):
+    """Min/max statistics of the shards' files rule most of them out for a value of any dimension."""
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(9)
+    rows = [(i, "x" * int(rng.lognormal(5, 1.2)), f"http://site-{int(rng.integers(40)):02}.org", str(rng.choice(["de", "en", "en", "en", "fr", "it"]))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(4)
+    placed = shard.hilbert_shards(df).select("doc_id", "shard", "size").join(df.drop("text"), "doc_id")
+    placed.repartition(16, "shard").write.partitionBy("shard").parquet(str(tmp_path / "s"))
+    stats = defaultdict(list)
+    for file in (tmp_path / "s").rglob("*.parquet"):
+        meta = pq.read_metadata(file)
+        for c in range(meta.num_columns):
+            column = meta.row_group(0).column(c)
+            stats[column.path_in_schema].append((column.statistics.min, column.statistics.max))
+    sizes = sorted(len(t) + 1 for _, t, _, _ in rows)
+    for name, wanted in (("size", sizes[::100]), ("source", sorted({r[2] for r in rows})), ("lang", ["de", "fr", "it"])):
+        read = np.mean([sum(lo <= x <= hi for lo, hi in stats[name]) for x in wanted]) / 16
+        assert len(stats[name]) == 16 and read < 0.6
 
 
 def test_hilbert_curve_is_continuous():
@@ -121,7 +163,9 @@ def test_mix(docs):
     assert all(abs(taken[s] - target[s]) <= 0.5 + 1e-6 for s in names)
     assert {i: r["taken"] for i, r in _rows(mix_sources(docs.repartition(5))).items()} == {i: r["taken"] for i, r in got.items()}
     words = defaultdict(int)
-    for r in mixed_documents(docs).collect():
+    mixed = mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    for r in mixed.collect():
         words[r["doc_id"]] += len((r["text"] or "").split())
     assert all(words[i] == r["taken"] for i, r in got.items())
 
@@ -381,3 +425,16 @@ def test_mix_of_empty_and_cut_documents(spark):
     copies = Counter(r["doc_id"] for r in got)
     assert all(1 <= copies[i] <= 3 for i in (5, 6, 7))
     assert all(r["text"] == texts[r["doc_id"]] or texts[r["doc_id"]].startswith(r["text"]) for r in got)
+
+
+def test_mix_of_repeated_and_null_ids(spark):
+    rows = [(1, "a b c d", "x")] * 40 + [(None, "e f", "x")] * 30 + [(i, "g " * 20, "y") for i in range(2, 30)] + [(2, "again with this id", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = {r["source"]: r["taken"] for r in mix_sources(df).groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+    got = mixed_documents(df).collect()
+    words = Counter()
+    for r in got:
+        words[r["source"]] += len(r["text"].split())
+    assert all(abs(words[s] - want[s]) <= 40 for s in want)
+    copies = Counter((r["doc_id"], r["text"]) for r in got if r["text"] in ("a b c d", "e f"))
+    assert copies[1, "a b c d"] <= 120 and copies[None, "e f"] <= 90
