@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnflow.llm.common import WORD_PATTERN, Stage, blank_to_empty, table
@@ -11,10 +11,20 @@ from tarnflow.llm.common import WORD_PATTERN, Stage, blank_to_empty, table
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
+#: The rules of so many sources at most are broadcast (100 bytes each).
+BROADCAST_SOURCES = 100_000
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_count(blank_to_empty(text), F.lit(WORD_PATTERN)).cast("long")
+
+
+def _order(key: Column, seed: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), key.cast("string")))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: ``doc_id, size, source_size, target, taken, whole, part``.
+    """One row per input row: ``doc_id, source, order, size, source_size, target, taken, whole, part``.
 
     Sources in code point order (null last) get ``weights`` in turn and share all words.  A source stops at
     ``max_epochs`` times its size; what it can't use goes to the others by weight until none is above.  Repeated clamping has
@@ -29,13 +39,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     Null text has no words.  Sources without words have target 0.  Repeated rows are documents of their own; rows alike in id and size are
     interchangeable.  An empty table gives no rows; other columns are ignored.
     """
-    words = F.regexp_count(blank_to_empty(F.col(text_col)), F.lit(WORD_PATTERN)).cast("long")
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("size"))
-    narrow = narrow.withColumn("order", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))).withColumn("bucket", F.substring("order", 1, 3))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), _words(F.col(text_col)).alias("size"))
+    narrow = narrow.withColumn("order", _order(F.col("doc_id"), seed)).withColumn("bucket", F.substring("order", 1, 3))
     rows = Stage(narrow, "mix-narrow")
     buckets = rows.df.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     sources = buckets.groupBy("source").agg(F.sum("n").alias("source_size"))
-    # One row a source from here: windows over all of them are as small as the list of sources.
+    # One row a source from here: windows over all of them are as small as the list of sources (a million sorts in a task's memory).
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(place, F.lit(len(weights))) + 1).cast("int")).cast("long")
     sized = sources.withColumn("weight", weight).withColumn("cap", F.col("source_size") * max_epochs)
@@ -56,30 +65,48 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     ranked = rows.df.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     both = ranked.alias("r").join(starts.alias("s"), same("r", "s") & (F.col("r.bucket") == F.col("s.bucket")))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("inner")))
-    return both.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"), "whole", part.cast("long").alias("part"))
+    return both.select("doc_id", "r.source", "order", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"), "whole", part.cast("long").alias("part"))
+
+
+def thresholds(plan: DataFrame) -> DataFrame:
+    """Per source: ``whole`` copies, and the row ``last`` of the seeded order in which its words run out, of which copies share the rest.
+
+    ``last`` holds the order, the size, the words left and how many rows are alike there (rows that repeat an id); it is null where nothing is left.
+    """
+    alike = plan.groupBy("source", "order", "size").agg(F.first("whole").alias("whole"), F.sum("part").alias("left"), F.count("*").alias("rows"))
+    last = F.max(F.when(F.col("left") > 0, F.struct("order", "size", "left", "rows")))
+    return alike.groupBy("source").agg(F.first("whole").alias("whole"), last.alias("last"))
 
 
-def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """The mix itself, in the columns of ``docs``: whole copies, and the piece in which a source's words run out cut after its last word.
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself, in the columns of ``docs``: whole copies, and the document in which a source's words run out cut after its last word.
 
-    Ids must be unique here; the copies of a document repeat its id, as epochs do.
+    Each source's place in the seeded order where its words run out goes to its rows (one row a source), which then decide for themselves: no
+    text is shuffled.  Copies of a document repeat its id, as epochs do.  Rows alike in id and size at that place share the words left evenly, rounded down.
     """
-    id_col, text_col = params.get("id_col", "doc_id"), params.get("text_col", "text")
-    plan = mix_sources(docs, **params).select(F.col("doc_id").alias("_id"), "size", "whole", "part")
-    joined = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_id")))
+    names = [c if c.isidentifier() else f"`{c}`" for c in docs.columns]
+    plan = mix_sources(docs, weights, max_epochs, seed, id_col, text_col, source_col)
+    rules = Stage(thresholds(plan), "mix-rules").df.withColumnRenamed("source", "_source")
+    row = docs.select(F.struct(*names).alias("row"), F.col(source_col).cast("string").alias("own"), _order(F.col(id_col), seed).alias("order"), _words(F.col(text_col)).alias("size"))
+    small = rules.count() <= BROADCAST_SOURCES
+    ruled = row.join(F.broadcast(rules) if small else rules, F.col("own").eqNullSafe(F.col("_source")))
+    here, there = F.struct("order", "size"), F.struct("last.order", "last.size")
+    part = F.when(F.col("last").isNull() | (here > there), 0).when(here < there, F.col("size")).otherwise(F.least(F.col("size"), F.floor(F.col("last.left") / F.col("last.rows"))))
+    ruled = ruled.withColumn("part", part)
     full = F.col("whole") + F.when((F.col("part") == F.col("size")) & ((F.col("size") > 0) | (F.col("whole") == 0)), 1).otherwise(0)
     cut = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), 1).otherwise(0)
-    copies = joined.withColumn("_copy", F.explode(F.when(full + cut > 0, F.sequence(F.lit(1), (full + cut).cast("int"))).otherwise(F.array().cast("array<int>"))))
-    words = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each with the white space before it
-    text = F.when(F.col("_copy") > full, F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), "")).otherwise(F.col(text_col))
-    out = copies.withColumn(text_col, text)
+    copies = ruled.withColumn("full", full).withColumn("copy", F.explode(F.when(full + cut > 0, F.sequence(F.lit(1), (full + cut).cast("int"))).otherwise(F.array().cast("array<int>"))))
+    text = F.col(f"row.{text_col}")
+    words = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each with the white space before it
+    text = F.when(F.col("copy") > F.col("full"), F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), "")).otherwise(text)
+    out = copies.select("row.*", text.alias("_text")).withColumn(text_col, F.col("_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"))
+    return mix_sources(table(spark, sf_dir, "documents")).drop("source", "order")
 
 
 ORACLE = r"""
