@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.llm.common import Stage, table
+from tarnflow.llm.common import Stage, join_hot, table
 from tarnflow.llm.components import components
 
 COSINE = 0.9
-#: The index is fitted on so many distinct vectors at most, the first by a hash; every vector is indexed.
-FIT_ROWS = 20_000
-LIST_ROWS, MAX_LISTS, LISTS_A_GROUP = 256, 4096, 16
+#: The index is fitted on so many distinct vectors, the first by a hash, or on eight a list if that is more, up to MOST_FIT_ROWS; every vector is indexed.
+FIT_ROWS, MOST_FIT_ROWS = 20_000, 200_000
+LIST_ROWS, MIN_LISTS, LISTS_A_GROUP = 256, 4096, 16
 SUBSPACES, CODES = 8, 64
 #: A list is ruled out against so many of a query's nearest centroids; more rule out more lists and cost more, results don't change.
 WITNESSES = 8
@@ -59,8 +59,11 @@ class Index:
     @cached_property
     def gap(self) -> np.ndarray:
         """Distances between the centroids."""
+        return self._gaps(np.arange(len(self.coarse)), np.arange(len(self.coarse))).astype(np.float32)
+
+    def _gaps(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         square = (self.coarse * self.coarse).sum(axis=1)
-        return np.sqrt(np.maximum(square[:, None] + square - 2 * self.coarse @ self.coarse.T, 0)).astype(np.float32)
+        return np.sqrt(np.maximum(square[a][:, None] + square[b] - 2 * self.coarse[a] @ self.coarse[b].T, 0))
 
     def far(self, u: np.ndarray) -> np.ndarray:
         """Squared distances to the centroids, without the vector's own square."""
@@ -84,7 +87,8 @@ class Index:
             n = min(WITNESSES, far.shape[1])
             own, rows = far[:, lists], np.arange(len(far))
             for j in np.argpartition(far, n - 1, axis=1)[:, :n].T:
-                out[at : at + 1024] &= own - far[rows, j][:, None] <= 2 * self.reach * self.gap[j[:, None], lists] + SLACK
+                gap = self.gap[j[:, None], lists] if len(self.coarse) <= MIN_LISTS else self._gaps(j, lists)  # many lists: no table of all pairs
+                out[at : at + 1024] &= own - far[rows, j][:, None] <= 2 * self.reach * gap + SLACK
         return out
 
     def groups(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +130,9 @@ class Index:
 def fit(u: np.ndarray, rows: int, cosine: float = COSINE, seed: int = SEED) -> Index:
     """An index for ``rows`` vectors from a sample of unit vectors."""
     rng = np.random.default_rng(seed)
-    k = int(min(MAX_LISTS, max(1, len(u) // 8), 1 << max(0, round(np.log2(max(1, rows) / LIST_ROWS)))))
+    # Lists grow with the rows to MIN_LISTS, then with their square root, so that lists and what is in them grow alike.
+    wanted = min(rows / LIST_ROWS, max(MIN_LISTS, rows**0.5))
+    k = int(min(max(1, len(u) // 8), 1 << max(0, round(np.log2(max(1, wanted))))))
     coarse = _k_means(u, k, rng)
     groups = max(1, k // LISTS_A_GROUP)
     tops = _k_means(coarse, groups, rng)
@@ -139,7 +145,9 @@ def fit(u: np.ndarray, rows: int, cosine: float = COSINE, seed: int = SEED) -> I
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    """Of length one, in double precision; scaled first, so that no square overflows or vanishes."""
     x = vectors.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -155,9 +163,7 @@ def _read(dims: int, wide: bool):
             ends = np.cumsum(np.maximum(size, 0))
             full = np.flatnonzero(size == dims)
             x = flat[(ends[full] - dims)[:, None] + np.arange(dims)] if len(full) else np.zeros((0, dims), dtype=dtype)
-            with np.errstate(all="ignore"):
-                norm = np.linalg.norm(x.astype(np.float64), axis=1)
-            good = np.isfinite(x).all(axis=1) & np.isfinite(norm) & (norm > 0)
+            good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
             keys, vectors = [None] * len(size), [None] * len(size)
             for i, v in zip(full[good], x[good] + dtype(0)):  # minus zero is zero
                 vectors[i] = v.tobytes()
@@ -300,9 +306,13 @@ def embedding_components(vectors: DataFrame, cosine: float = COSINE, id_col: str
     n = distinct.df.count()
     named = rows.df.select("vec_id", "key")
     if n:
-        sample = distinct.df.orderBy(F.xxhash64("key")).limit(fit_rows).select("vector").collect()  # bounded: fit_rows
+        most = max(fit_rows, min(MOST_FIT_ROWS, 8 * int(n**0.5)))
+        chosen = distinct.df
+        if n > most:  # a threshold on the hash leaves about that many before they are sorted
+            chosen = chosen.where(F.xxhash64("key") < F.lit(int(-(1 << 63) + (1 << 64) * (most + 4 * most**0.5 + 16) / n)))
+        sample = chosen.orderBy(F.xxhash64("key")).limit(most).select("vector").collect()  # bounded: fit_rows or MOST_FIT_ROWS
         ix = fit(unit(_matrix([bytes(r["vector"]) for r in sample], dims, wide)), n, cosine)
-        index = spark.sparkContext.broadcast(ix)  # bounded: MAX_LISTS centroids and the codebooks
+        index = spark.sparkContext.broadcast(ix)  # bounded: MOST_FIT_ROWS / 8 centroids and the codebooks
         loads = distinct.df.mapInArrow(_load(index, dims, wide), "g long, stored long, asked long").groupBy("g").agg(F.sum("stored").alias("s"), F.sum("asked").alias("a")).collect()  # a row a group of lists
         load = {r["g"]: (max(1, -(-r["s"] // BLOCK)), max(1, -(-r["a"] // CHUNK))) for r in loads}
         cells = distinct.df.mapInArrow(_deal(index, load, dims, wide), CELL).groupBy("g", "block", "chunk")
@@ -313,10 +323,14 @@ def embedding_components(vectors: DataFrame, cosine: float = COSINE, id_col: str
         counts = spark.createDataFrame([], "key long, links long")
         label = spark.createDataFrame([], "node long, label long")
     classes = distinct.df.select("key", "weight").join(counts, "key", "left").join(label.withColumnRenamed("node", "key"), "key", "left")
-    classes = classes.select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("label", "key").alias("label"))
-    whole = Stage(named.join(classes, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "label"), "vector-rows")
-    least = whole.df.where("label IS NOT NULL").groupBy("label").agg(F.min("vec_id").alias("least"))
-    out = whole.df.join(least, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("vec_id")).otherwise(F.col("least")))
+    classes = Stage(classes.select("key", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("label", "key").alias("label")), "vector-classes").df
+    # Vectors without a key keep out of the joins: they would all go to one task.
+    known = join_hot(named.where("key IS NOT NULL"), classes, "key", "vec_id", n="weight")
+    whole = Stage(known.select("vec_id", "n_links", "label"), "vector-rows").df
+    least = Stage(whole.groupBy("label").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")), "least-ids").df
+    linked = join_hot(whole, least, "label", "vec_id").select("vec_id", "n_links", F.col("least").alias("component_id"))
+    alone = named.where("key IS NULL").select("vec_id", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = linked.unionByName(alone)
     return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

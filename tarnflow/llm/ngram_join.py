@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.llm.common import Stage, blank_to_empty, table
+from tarnflow.llm.common import Stage, blank_to_empty, join_hot, table
 from tarnflow.llm.components import components
-from tarnflow.llm.shingles import set_key, shingle_sets
+from tarnflow.llm.shingles import mix, set_key, shingle_sets
 
 WORDS = 5
 #: Percent of the union that two sets must share.
@@ -20,8 +20,12 @@ TASK_SHINGLES = 2_000_000
 FLUSH = 500_000
 SLICE = 512
 TASK_PAIRS = 2_000_000
-#: Pivots are quantiles of so many n-grams at most.
+#: Pivots are quantiles of so many n-grams, about.
 PIVOT_SAMPLE = 50_000
+#: Parts that the pairs of one n-gram are dealt to if it is hot.
+CROSS_PARTS = 16
+#: An n-gram of so many sets that may still cross is hot.
+HOT_GRAM = 2_000
 MIN_FRAGMENTS = 8
 
 
@@ -169,6 +173,40 @@ def _place(hashes: np.ndarray, freq: np.ndarray) -> np.ndarray:
     return np.minimum(freq, 65535).astype(np.uint64) << np.uint64(48) | hashes >> np.uint64(16)
 
 
+def _places(every: int):
+    """The places of one n-gram of a set in ``every``, chosen by a hash of both."""
+
+    def run(batches):
+        for batch in batches:
+            out = [np.zeros(0, dtype=np.int64)]
+            for key, grams, freq in zip(*(batch.column(c).to_pylist() for c in ("key", "grams", "freq"))):
+                h = np.frombuffer(grams, dtype=np.uint64)
+                some = mix(h ^ np.uint64(key & 0xFFFFFFFFFFFFFFFF)) % np.uint64(every) == 0
+                out.append(_place(h[some], np.frombuffer(freq, dtype=np.int32)[some]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], ["place"])
+
+    return run
+
+
+def _fragments_of(grams: bytes, freq: bytes, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set's n-grams by fragment, and the fragment of each."""
+    h = np.frombuffer(grams, dtype=np.uint64)
+    fragment = np.searchsorted(pivots, _place(h, np.frombuffer(freq, dtype=np.int32)), side="right")
+    order = np.argsort(fragment, kind="stable")
+    return h[order], fragment[order]
+
+
+def _held_fragments(pivots: np.ndarray):
+    """The fragments that hold n-grams of each set."""
+
+    def run(batches):
+        for batch in _slices(batches):
+            held = [np.unique(_fragments_of(g, f, pivots)[1]).astype(np.int32) for g, f in zip(batch.column("grams").to_pylist(), batch.column("freq").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(held, pa.list_(pa.int32()))], ["key", "fragments"])
+
+    return run
+
+
 def _segments(pivots: np.ndarray):
     """A set's n-grams cut at the pivots, a row a fragment."""
 
@@ -176,10 +214,7 @@ def _segments(pivots: np.ndarray):
         for batch in _slices(batches):
             out: list[tuple] = []
             for key, slot, grams, freq in zip(*(batch.column(c).to_pylist() for c in ("key", "slot", "grams", "freq"))):
-                h = np.frombuffer(grams, dtype=np.uint64)
-                fragment = np.searchsorted(pivots, _place(h, np.frombuffer(freq, dtype=np.int32)), side="right")
-                order = np.argsort(fragment, kind="stable")
-                f, h = fragment[order], h[order]
+                h, f = _fragments_of(grams, freq, pivots)
                 cuts = np.flatnonzero(np.diff(f)) + 1
                 out.extend((int(f[a]), slot, key, np.sort(h[a:b]).tobytes()) for a, b in zip([0, *cuts], [*cuts, len(f)]))
             cols = list(zip(*out)) or [[]] * 4
@@ -227,13 +262,19 @@ def _partial(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a[hit]), "b": pa.array(b[hit]), "partial": pa.array(out[hit])})
 
 
-def _verified(survivors: DataFrame, pairs: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """The pairs ``a, b, na, nb`` that link.  Partial overlaps are counted apart in every fragment and slot of pairs, and summed per pair."""
+def _verified(survivors: DataFrame, held: DataFrame, pairs: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """The pairs ``a, b`` that link.  Partial overlaps are counted apart in every slot of pairs and every fragment that both sets have n-grams in,
+    and summed per pair."""
     slots = max(1, -(-pairs.count() // TASK_PAIRS))
     asked = pairs.withColumn("slot", F.pmod(F.xxhash64("a"), F.lit(slots)).cast("int"))
     sides = asked.select(F.col("a").alias("key"), "slot").union(asked.select("b", "slot")).distinct()
     segments = survivors.select("key", "grams", "freq").join(sides, "key").select("key", "slot", "grams", "freq").mapInArrow(_segments(pivots), "fragment int, slot int, key long, grams binary")
-    spread = asked.select(F.explode(F.sequence(F.lit(0), F.lit(len(pivots)))).alias("fragment"), "slot", "a", "b")
+    # A centre is one end of the pairs of a large group of copies, so its pairs are dealt out.
+    many = pairs.groupBy(F.col("b").alias("key")).agg(F.count("*").alias("n"))
+    of_b = join_hot(asked.withColumnRenamed("b", "key"), held.join(many, "key").withColumnRenamed("fragments", "fb"), "key", "a").drop("n").withColumnRenamed("key", "b")
+    many = pairs.groupBy(F.col("a").alias("key")).agg(F.count("*").alias("n"))
+    both = join_hot(of_b.withColumnRenamed("a", "key"), held.join(many, "key").withColumnRenamed("fragments", "fa"), "key", "b").drop("n").withColumnRenamed("key", "a")
+    spread = both.select(F.explode(F.array_intersect("fa", "fb")).alias("fragment"), "slot", "a", "b")
     partial = segments.groupBy("fragment", "slot").cogroup(spread.groupBy("fragment", "slot")).applyInArrow(_partial, "a long, b long, partial long")
     overlap = partial.groupBy("a", "b").agg(F.sum("partial").alias("both"))
     return pairs.join(overlap, ["a", "b"]).where(100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
@@ -269,8 +310,14 @@ def _crossed(posts: DataFrame) -> DataFrame:
     for _ in range(2):
         least = posts.groupBy("gram").agg(F.min("n").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram", "least")
         posts = posts.join(least, "gram").where("reach >= least").drop("least")
-    x, y = posts.alias("x"), posts.alias("y")
-    apart = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label")) & (F.struct("x.n", "x.key") < F.struct("y.n", "y.key"))
+    posts = Stage(posts, "posts-crossing").df
+    sizes = posts.groupBy("gram").agg(F.count("*").alias("n"))
+    hot = [r[0] for r in sizes.where(F.col("n") >= HOT_GRAM).select("gram").collect()] if posts.count() >= HOT_GRAM else []  # postings / HOT_GRAM at most
+    is_hot = F.col("gram").isin(hot) if hot else F.lit(False)
+    dealt = F.when(is_hot, F.pmod(F.xxhash64("key"), F.lit(CROSS_PARTS)).cast("int")).otherwise(0)
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(CROSS_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    x, y = posts.withColumn("part", dealt).alias("x"), posts.withColumn("part", F.explode(parts)).alias("y")
+    apart = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") != F.col("y.label")) & (F.struct("x.n", "x.key") < F.struct("y.n", "y.key"))
     within = (F.col("x.n") <= F.col("y.reach")) & (F.col("y.n") <= F.col("x.reach"))
     return x.join(y, apart & within).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
 
@@ -292,7 +339,8 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     3. Prefix filter: sets that link share an n-gram among the first that could be spared.  Each set is first held against the set with
        the commonest n-grams (the text that near copies come from) of its most and of its least common such n-gram, then likewise
        against the largest: two pairs a set.
-    4. Overlaps are counted by fragment of the global order (cut at quantiles) and summed per pair; links are joined to components.
+    4. Overlaps are counted by fragment of the global order (cut at quantiles), of those in which both sets have n-grams, and summed per pair; links
+       are joined to components.
     5. Of the n-grams whose sets are still in different components all pairs across components that could link by their places in both
        sets are held against each other; pairs within a component can't change the result.  So a large group of near copies needs a few pairs a member.
 
@@ -314,9 +362,10 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     left = survivors.agg(F.sum("shared"), F.count("*")).first()
     fragments = max(MIN_FRAGMENTS, -(-(left[0] or 0) // task_shingles))
-    sample = survivors.orderBy(F.xxhash64("key")).limit(64).select("grams", "freq").collect()  # a bounded sample: pivots only balance the fragments
-    places = np.concatenate([np.zeros(0, dtype=np.uint64), *(_place(np.frombuffer(r["grams"], dtype=np.uint64), np.frombuffer(r["freq"], dtype=np.int32))[:: max(1, len(sample) * (len(r["grams"]) // 8) // PIVOT_SAMPLE)] for r in sample)])
+    sample = survivors.mapInArrow(_places(max(1, (left[0] or 0) // PIVOT_SAMPLE)), "place long").collect()  # PIVOT_SAMPLE numbers, about: pivots only balance the fragments
+    places = np.array([r["place"] for r in sample], dtype=np.int64).view(np.uint64)
     pivots = np.quantile(places, np.arange(1, fragments) / fragments, method="nearest") if len(places) else np.arange(1, fragments, dtype=np.uint64)
+    held = Stage(survivors.select("key", "grams", "freq").mapInArrow(_held_fragments(pivots), "key long, fragments array<int>"), "fragments-held").df
 
     posted = survivors.select(F.posexplode("prefix").alias("place", "gram"), "key", "n", "shared", "common").withColumn("reach", F.expr(REACH))
     posts = Stage(posted.select("gram", "key", "n", "common", "reach", F.col("key").alias("label")), "posts")
@@ -329,7 +378,7 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         tried.append(Stage(asked, "pairs"))
         if not tried[-1].df.limit(1).count():
             continue
-        found = Stage(_verified(survivors, tried[-1].df, pivots), "links")
+        found = Stage(_verified(survivors, held, tried[-1].df, pivots), "links")
         links.append(found)
         label = components(_all(links))
         # Only n-grams whose sets are in different components can still tell anything.
@@ -340,10 +389,12 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             posts.drop()
             posts = open_posts
     label_df = label.df if links else spark.createDataFrame([], "node long, label long")
-    classes = named.df.join(label_df.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    copies = named.df.where("n > 0").groupBy("key").agg(F.count("*").alias("m"))
+    told = label_df.withColumnRenamed("node", "key").join(copies, "key")
+    classes = join_hot(named.df, told, "key", "doc_id", "left", n="m").withColumn("label", F.coalesce("label", "key"))
     rows = Stage(classes.select("doc_id", "n", "label"), "labelled")
-    smallest = rows.df.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    out = rows.df.join(smallest, "label", "left")
+    smallest = Stage(rows.df.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")), "least-ids").df
+    out = join_hot(rows.df, smallest, "label", "doc_id", "left", n="m")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

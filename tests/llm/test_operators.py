@@ -243,13 +243,14 @@ def test_embeddings(spark):
     for i in range(0, 200, 4):
         x[i + 1], x[i + 2] = x[i] * 2 + 0.2 * rng.standard_normal(24), x[i]
     rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(300, None), (301, [0.0] * 24), (302, [float("nan")] + [1.0] * 23), (303, [None] + [1.0] * 23), (304, [1.0, 2.0]), (305, [])]
+    rows += [(400 + i, [a * 1e200 for a in rows[i][1]]) for i in range(4)] + [(410 + i, [a * 1e-200 for a in rows[i][1]]) for i in range(4)]
+    x = np.concatenate([x, x[:4], x[:4]])
+    ids = [*range(300), *range(400, 404), *range(410, 414)]
     got = _rows(embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "vec_id")
     u = x / np.linalg.norm(x, axis=1)[:, None]
-    links = {(a, b) for a, b in zip(*np.nonzero(u @ u.T >= 0.9)) if a != b}
-    found = sum(r["n_links"] for r in got.values())
-    assert 0.9 * len(links) <= found <= len(links)
-    want = _roots(range(306), links)
-    assert sum(got[i]["component_id"] == want[i] for i in range(306)) >= 300 and all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(300, 306))
+    links = {(ids[a], ids[b]) for a, b in zip(*np.nonzero(u @ u.T >= 0.9)) if a != b}
+    want, counts = _roots([r[0] for r in rows], links), Counter(a for a, _ in links)
+    assert {i: (r["n_links"], r["component_id"], r["kept"]) for i, r in got.items()} == {i: (counts[i], want[i], want[i] == i) for i in want}
 
 
 def test_pack(docs):
@@ -374,8 +375,15 @@ def _vectors_of(kind):
     return np.concatenate([far, rng.standard_normal(64) + rng.standard_normal((2000, 5)) @ rng.standard_normal((5, 64)) * 0.3])
 
 
-@pytest.mark.parametrize("kind", ["few dimensions", "hot cluster"])
-def test_embedding_links_are_complete(spark, kind):
+@pytest.mark.parametrize("kind, table", [("few dimensions", True), ("hot cluster", True), ("hot cluster", False)])
+def test_embedding_links_are_complete(spark, kind, table, monkeypatch):
+    """Recall is 1 by brute force, over many lists, blocks and chunks, with and without the table of distances between the centroids."""
+    from tarnflow.llm import embed_dedup
+
+    if not table:
+        monkeypatch.setattr(embed_dedup, "MIN_LISTS", 8)
+        monkeypatch.setattr(embed_dedup, "BLOCK", 300)
+        monkeypatch.setattr(embed_dedup, "CHUNK", 700)
     x = _vectors_of(kind)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     got = _rows(embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)), "vec_id")
