@@ -14,6 +14,17 @@ WHITE = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that a Python worker handles at once, so that few texts are Python objects at a time.
+SLICE = 512
+
+
+def slices(batches):
+    """Arrow batches in short pieces."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

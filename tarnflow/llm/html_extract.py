@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.llm.common import Stage, blank_to_empty, table
+from tarnflow.llm.common import Stage, blank_to_empty, slices, table
 
 #: Fixed values of HTML and of common page templates.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -437,7 +437,7 @@ def _vote(batches):
 
     ``block`` names a text with its path, ``page`` the page's own text, ``new`` is 1 for a page's first text on a path.
     """
-    for batch in batches:
+    for batch in slices(batches):
         rows: list[tuple] = []
         for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             host = host_of(url)
@@ -482,7 +482,7 @@ def text_of(source: str, paths: list[str] | None = None) -> str:
 
 
 def _extract(batches):
-    for batch in batches:
+    for batch in slices(batches):
         found = [extract_text(h, p, f) for h, p, f in zip(*(batch.column(c).to_pylist() for c in ("html", "paths", "frame")))]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([t for t, _ in found], pa.string()), pa.array([b for _, b in found], pa.bool_())], ["page_id", "url", "text", "by_host"])
 

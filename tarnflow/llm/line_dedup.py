@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnflow.llm.bloom import MAX_BITS, among, bits_for, build, hits_of, positions_of, seen_ids
-from tarnflow.llm.common import WHITE, Stage, blank_to_empty, join_hot, table
+from tarnflow.llm.common import WHITE, Stage, blank_to_empty, join_hot, slices, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: So many confirmed lines at most are broadcast (24 bytes each); more are joined by shuffle.
@@ -33,7 +33,7 @@ def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
 def _seen(bits: int, min_chars: int):
     def run(batches):
         hashes: list[int] = []
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 hashes.extend(map(xxhash.xxh64_intdigest, {k for k in line_keys(text, min_chars) if k is not None}))
                 if len(hashes) >= FLUSH:
@@ -55,7 +55,7 @@ def _suspects(filter_, bits: int, min_chars: int, id_name: str):
 
     def run(batches):
         hits = hits_of(filter_, bits)
-        for batch in batches:
+        for batch in slices(batches):
             keys = [list({k for k in line_keys(t, min_chars) if k is not None}) for t in batch.column("_text").to_pylist()]
             flat = [k for ks in keys for k in ks]
             bad = hits(np.fromiter(map(xxhash.xxh64_intdigest, flat), dtype=np.uint64, count=len(flat)))
@@ -89,7 +89,7 @@ def _cut_by_keeper(found, min_chars: int):
 
     def run(batches):
         high, low, keeper = found.value  # sorted by the first
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("_id").to_pylist()
             keys = [[k for k in line_keys(t, min_chars) if k is not None] for t in batch.column("_text").to_pylist()]
             flat = [k for ks in keys for k in ks]
@@ -114,7 +114,7 @@ def _cut_by_list(min_chars: int):
     """Lines that are on the document's list go."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             gone = []
             for text, drop in zip(batch.column("_text").to_pylist(), batch.column("_drop").to_pylist()):
                 listed = set(drop or ())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.llm.common import Stage, blank_to_empty, join_hot, table
+from tarnflow.llm.common import Stage, blank_to_empty, join_hot, slices, table
 from tarnflow.llm.components import components
 from tarnflow.llm.shingles import mix, set_key, shingle_sets
 
@@ -18,7 +18,6 @@ PERCENT = 80
 #: Shingles that a task holds at once, about.
 TASK_SHINGLES = 2_000_000
 FLUSH = 500_000
-SLICE = 512
 TASK_PAIRS = 2_000_000
 #: Pivots are quantiles of so many n-grams, about.
 PIVOT_SAMPLE = 50_000
@@ -34,16 +33,9 @@ def _need(n):
     return (PERCENT * n + 99) // 100
 
 
-def _slices(batches):
-    """Arrow batches in short pieces, so that few texts or sets are Python objects at once."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
-
-
 def _doc_sets(words: int):
     def run(batches):
-        for batch in _slices(batches):
+        for batch in slices(batches):
             ns, keys = [], []
             for s in shingle_sets(batch.column("text").to_pylist(), words):
                 ns.append(len(s))
@@ -91,7 +83,7 @@ def _scatter(words: int, buckets: int):
     def run(batches):
         sets: dict[int, np.ndarray] = {}
         held = 0
-        for batch in _slices(batches):
+        for batch in slices(batches):
             for s in shingle_sets(batch.column("text").to_pylist(), words):
                 if len(s) and (key := set_key(s)) not in sets:
                     sets[key] = s
@@ -200,7 +192,7 @@ def _held_fragments(pivots: np.ndarray):
     """The fragments that hold n-grams of each set."""
 
     def run(batches):
-        for batch in _slices(batches):
+        for batch in slices(batches):
             held = [np.unique(_fragments_of(g, f, pivots)[1]).astype(np.int32) for g, f in zip(batch.column("grams").to_pylist(), batch.column("freq").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(held, pa.list_(pa.int32()))], ["key", "fragments"])
 
@@ -211,7 +203,7 @@ def _segments(pivots: np.ndarray):
     """A set's n-grams cut at the pivots, a row a fragment."""
 
     def run(batches):
-        for batch in _slices(batches):
+        for batch in slices(batches):
             out: list[tuple] = []
             for key, slot, grams, freq in zip(*(batch.column(c).to_pylist() for c in ("key", "slot", "grams", "freq"))):
                 h, f = _fragments_of(grams, freq, pivots)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.llm.common import Stage, blank_to_empty, table
+from tarnflow.llm.common import Stage, blank_to_empty, slices, table
 
 CAPACITY, END_ID = 1024, 0
 
@@ -67,7 +67,7 @@ def _pieces(path: str, capacity: int, end_id: int):
         encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         task, used = TaskContext.get().partitionId(), Counter()
         end = end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches):
             owner, starts, lengths, crcs, totals, places = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = encoder.encode(text) + end

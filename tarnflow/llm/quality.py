@@ -7,11 +7,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.llm.common import blank_to_empty, table
+from tarnflow.llm.common import blank_to_empty, slices, table
 
 #: Labelled rows that the model is fitted on at most; they are the first by a hash of the id.
 MAX_TRAINING_ROWS = 20_000
@@ -63,9 +64,20 @@ def features(text: str) -> list[float]:
 
 
 def _featurise(batches):
-    for batch in batches:
-        rows = [features(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.float64())), batch.column("rest")], ["doc_id", "features", "rest"])
+    for batch in slices(batches):
+        rows = [features(t or "") for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rest"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "rest", "features"])
+
+
+def _featurise_rest(text: str):
+    """The same where the text is among what goes along."""
+
+    def run(batches):
+        for batch in slices(batches):
+            rows = [features(t or "") for t in pc.struct_field(batch.column("rest"), text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rest"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "rest", "features"])
+
+    return run
 
 
 def bradley_terry(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> np.ndarray:
@@ -174,7 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_training_rows: int) -> Model:
 
 
 def _featured(rows: DataFrame) -> DataFrame:
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("features", T.ArrayType(T.DoubleType())), rows.schema["rest"]])
+    """``doc_id, rest, features`` of ``doc_id, text, rest``."""
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["rest"], T.StructField("features", T.ArrayType(T.DoubleType()))])
     return rows.select("doc_id", "text", "rest").mapInArrow(_featurise, schema)
 
 
@@ -198,7 +211,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     if quantile is not None:
         narrow = _featured(src.select("doc_id", "text", F.struct(F.lit(0).alias("_")).alias("rest")))
         cut = narrow.agg(F.percentile_approx(raw, quantile, 10_000)).first()[0]
-    scored = _featured(src).select("doc_id", held_out.alias("held_out"), model.column(raw, cut).alias("score"), *(F.col(f"rest.{c}").alias(c) for c in carry))
+    if text_col in carry:  # the text goes to Python and back once
+        scored = src.select("doc_id", "rest").mapInArrow(_featurise_rest(text_col), T.StructType([src.schema["doc_id"], src.schema["rest"], T.StructField("features", T.ArrayType(T.DoubleType()))]))
+    else:
+        scored = _featured(src)
+    scored = scored.select("doc_id", held_out.alias("held_out"), model.column(raw, cut).alias("score"), *(F.col(f"rest.`{c}`").alias(c) for c in carry))
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.llm.common import blank_to_empty, table
+from tarnflow.llm.common import blank_to_empty, slices, table
 from tarnflow.llm.html_extract import text_of
 
 #: Fixed values of the WARC format.
@@ -153,7 +153,7 @@ def responses_of_pages(pages: DataFrame, date: str = "1970-01-01T00:00:00Z", id_
     """Response records of raw pages, with ``page_id``: the block is an HTTP response that carries the html."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for key, url, html in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist()):
                 body = html.encode("utf-8", "replace")
@@ -183,7 +183,7 @@ def derivative_records(responses: DataFrame, key: str = "page_id") -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             owner: list[int] = []
             held = 0
