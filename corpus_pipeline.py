@@ -54,8 +54,10 @@ def _without(docs: DataFrame, gone: DataFrame, row: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     ship_code(spark)
-    scored = score_quality(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_whole")), table(spark, sf_dir, "labels"), carry=("_whole",))
-    return scored.where("predicted = 1").select("_whole.*")
+    # Names that the scores don't clash with.
+    own = [f"_{i}" if c != "text" else "text" for i, c in enumerate(docs.columns)]
+    scored = score_quality(docs.select("doc_id", *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own))), table(spark, sf_dir, "labels"), carry=tuple(own))
+    return scored.where("predicted = 1").select(*(F.col(n).alias(c) for c, n in zip(docs.columns, own)))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
