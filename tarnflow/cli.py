@@ -1,7 +1,7 @@
 """Command line: prepare, rank and generate.
 
     python -m tarnflow.cli prepare EDGES FOLDER --budget 128M [--threads N] [--transpose]
-    python -m tarnflow.cli rank FOLDER --budget 128M --out FILE [--eps E] [--max-iters N] [--threads N]
+    python -m tarnflow.cli rank FOLDER --budget 128M --out FILE [--eps E] [--max-iters N] [--threads N] [--parts]
     python -m tarnflow.cli generate --vertices N --avg-degree D [--hypernodes C:D] [--seed S] --out FOLDER
 """
 
@@ -14,9 +14,10 @@ import sys
 from pyspark.sql import SparkSession
 
 from tarnflow.functions.numbers import parse_size
+from tarnflow.operators import grid
 from tarnflow.operators import prepare as prep
 from tarnflow.operators.rank import rank
-from tarnflow.operators.sinks import write_csv
+from tarnflow.operators.sinks import write_csv, write_csv_parts
 from tarnflow.schemas import EPS, MAX_ITERS, GraphError
 from tarnflow.sources.edge_text import read_edge_text
 from tarnflow.sources.generate import estimate_vertices, generate, parse_hypernodes, parse_target_size
@@ -38,6 +39,7 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--eps", type=float, default=EPS)
     r.add_argument("--max-iters", type=int, default=MAX_ITERS)
     r.add_argument("--threads", type=int, default=0)
+    r.add_argument("--parts", action="store_true", help="write a folder of files, from the executors")
     g = sub.add_parser("generate")
     size = g.add_mutually_exclusive_group(required=True)
     size.add_argument("--vertices", type=int)
@@ -54,22 +56,26 @@ def _peak_kib() -> int:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    args = parser().parse_args(argv)
+    try:
+        args = parser().parse_args(argv)
+    except SystemExit as e:
+        return 1 if e.code else 0  # usage errors are errors like any other
     say = lambda line: print(line, flush=True)
     try:
         spark = spark or SparkSession.builder.appName("tarnflow").getOrCreate()
         if args.tool == "prepare":
-            graph = prep.prepare(read_edge_text(spark, args.edges, args.transpose), args.budget, args.threads, args.transpose, log=say)
+            graph = prep.prepare(read_edge_text(spark, args.edges, args.transpose), args.budget, args.threads, args.transpose, strict=True, log=say)
             prep.save(graph, args.folder)
             say(f"done: peak_rss_kib={_peak_kib()}")
         elif args.tool == "rank":
             graph = prep.load(spark, args.folder)
             if args.threads > graph.meta["threads_planned"]:
-                raise GraphError(f"requested {args.threads} threads, but the workdir was planned for at most {graph.meta['threads_planned']}")
+                raise GraphError(f"{args.threads} threads are more than the {graph.meta['threads_planned']} of the plan")
+            grid.check_rank_budget(graph.scheme, args.budget, graph.meta["threads_planned"])
             out = rank(graph, args.eps, args.max_iters, log=say)
-            write_csv(out.ranks, args.out)
+            (write_csv_parts if args.parts else write_csv)(out.ranks, args.out)
             if not out.converged:
-                print(f"WARNING: did not converge within {args.max_iters} iterations, actual L1/N = {out.delta:.3e}", file=sys.stderr)
+                print(f"WARNING: not settled after {out.iterations} steps: L1/N={out.delta:.3e}", file=sys.stderr)
             say(f"done: iterations={out.iterations} converged={str(out.converged).lower()} peak_rss_kib={_peak_kib()}")
         else:
             n = args.vertices or estimate_vertices(args.target_size, args.avg_degree)

@@ -45,23 +45,30 @@ class Stage:
     are removed as soon as it is written.
     """
 
-    def __init__(self, df: DataFrame, label: str) -> None:
+    def __init__(self, df: DataFrame, label: str, bucket: str | None = None, buckets: int = 0) -> None:
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/tarnflow-{label}-{uuid.uuid4().hex}"
+        name = f"tarnflow-{label}-{uuid.uuid4().hex}"
+        self.path, self.table = f"{shared_dir(self.spark)}/{name}", name.replace("-", "_") if bucket else None
         _open[self.path] = self.spark
         before = self.spark.conf.get(CLEANUP, "false")
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.parquet(self.path)
+            if bucket:
+                # Joins and sums by the bucket column need no exchange of this table.
+                df.repartition(buckets, bucket).write.format("parquet").bucketBy(buckets, bucket).sortBy(bucket).option("path", self.path).saveAsTable(self.table)
+            else:
+                df.write.parquet(self.path)
         finally:
             self.spark.conf.set(CLEANUP, before)
         self.schema = df.schema
 
     @property
     def df(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        return self.spark.table(self.table) if self.table else self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
         """Delete the files; nothing may read the table afterwards."""
         if _open.pop(self.path, None):
+            if self.table:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
             delete(self.spark, self.path)

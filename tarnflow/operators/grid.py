@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnflow.schemas import BLOCK_ALIGN, COLUMN_BYTES, EDGE_BYTES, KIB, MIB, TIB, GraphError
+from tarnflow.schemas import BLOCK_ALIGN, BLOCK_INDEX, CHUNK_VERTICES, COLUMN_BYTES, DEGREE_BYTES, EDGE_BYTES, INDEX_BYTES, KIB, LINE_BYTES, MIB, SCORE_BYTES, TIB, GraphError
 
 
 @dataclass(frozen=True)
@@ -69,13 +69,41 @@ def min_budget(max_id: int, edges_raw: int, threads: int) -> int:
 
 def plan(max_id: int, edges_raw: int, budget: int, threads: int) -> PartitionScheme:
     if threads < 1:
-        raise GraphError("thread count must be positive")
+        raise GraphError(f"{threads} threads can't run a plan")
     found = _try_plan(max_id, edges_raw, budget, threads)
     if found is None:
-        raise GraphError(f"budget of {budget} bytes is infeasible for this graph (max_id={max_id}, edges={edges_raw}): minimum feasible budget is {min_budget(max_id, edges_raw, threads)} bytes")
+        raise GraphError(f"no layout fits a budget of {budget} bytes (max_id={max_id}, edges={edges_raw}); it takes {min_budget(max_id, edges_raw, threads)} bytes")
     return found
 
 
+def plan_or_least(max_id: int, edges_raw: int, budget: int, threads: int) -> PartitionScheme:
+    """The plan for the budget, or for the least multiple of it by a power of two that has one: nothing here needs the blocks to fit."""
+    while budget <= TIB:
+        found = _try_plan(max_id, edges_raw, budget, threads)
+        if found:
+            return found
+        budget *= 2
+    return PartitionScheme(max_id, 1)
+
+
+def rank_needs(scheme: PartitionScheme, budget: int, threads: int) -> list[tuple[str, int]]:
+    """What ranking an interval against another holds in memory, in bytes."""
+    vertices = scheme.interval
+    return [
+        ("contributions of the sources", SCORE_BYTES * vertices), ("sums of the targets", SCORE_BYTES * vertices), ("degrees", DEGREE_BYTES * vertices), ("presence", vertices // 8 + 1),
+        ("a chunk of edges", io_chunk(budget, threads)), ("the block index", INDEX_BYTES * scheme.partitions**2), ("partial sums", 3 * SCORE_BYTES * -(-vertices // CHUNK_VERTICES)),
+        ("lines of text", threads * CHUNK_VERTICES * LINE_BYTES),
+    ]
+
+
+def check_rank_budget(scheme: PartitionScheme, budget: int, threads: int) -> None:
+    usable, held = budget * 85 // 100, 0
+    for what, size in rank_needs(scheme, budget, threads):
+        if held + size > usable:
+            raise GraphError(f"memory budget exceeded: {what} take {size} bytes, {held} of {usable} are taken")
+        held += size
+
+
 def interval_of(vertex: Column, scheme: PartitionScheme) -> Column:
     return F.floor(vertex / scheme.interval).cast("int")
 
@@ -106,3 +134,30 @@ def block_index(edges: DataFrame, scheme: PartitionScheme) -> DataFrame:
 
 def required_bytes(index: DataFrame) -> DataFrame:
     return index.agg(F.max(F.col("offset_bytes") + EDGE_BYTES * F.col("edge_count")).alias("required_bytes"))
+
+
+def save_blocks(edges: DataFrame, scheme: PartitionScheme, path: str) -> None:
+    """Edges in block order as Parquet, and the index: row groups hold runs of blocks, so one block is read by their statistics."""
+    sorted_blocks(edges, scheme).select("block_pos", "src", "dst").write.mode("overwrite").parquet(f"{path}/blocks")
+    block_index(edges, scheme).coalesce(1).write.mode("overwrite").parquet(f"{path}/index")
+
+
+def load_index(spark: SparkSession, path: str, scheme: PartitionScheme) -> DataFrame:
+    """The saved index, held against the scheme and the stored blocks."""
+    index = spark.read.schema(BLOCK_INDEX).parquet(f"{path}/index")
+    told = index.agg(F.count("*").alias("n"), F.countDistinct("block_pos").alias("d"), F.max("block_pos").alias("top")).first()
+    if told["n"] != scheme.partitions**2 or told["d"] != told["n"] or told["top"] != told["n"] - 1:
+        raise GraphError(f"{path}: the index has {told['n']} blocks, the layout {scheme.partitions**2}")
+    stored = spark.read.parquet(f"{path}/blocks").groupBy("block_pos").agg(F.count("*").alias("stored"))
+    wrong = index.join(stored, "block_pos", "full_outer").where("coalesce(edge_count, -1) <> coalesce(stored, 0)").limit(1).collect()
+    if wrong:
+        raise GraphError(f"{path}: block {wrong[0]['block_pos']} holds {wrong[0]['stored'] or 0} edges, the index says {wrong[0]['edge_count']}")
+    return index
+
+
+def scan_block(spark: SparkSession, path: str, scheme: PartitionScheme, src_interval: int, dst_interval: int) -> DataFrame:
+    """One stored block's edges by destination, then source; the filter reaches the Parquet scan."""
+    if not (0 <= src_interval < scheme.partitions and 0 <= dst_interval < scheme.partitions):
+        raise GraphError(f"no block ({src_interval}, {dst_interval}) in {scheme.partitions} intervals")
+    block = spark.read.parquet(f"{path}/blocks").where(F.col("block_pos") == dst_interval * scheme.partitions + src_interval)
+    return block.select("src", "dst").orderBy("dst", "src")

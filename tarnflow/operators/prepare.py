@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.materialise import Stage
-from tarnflow.operators.grid import PartitionScheme, plan
-from tarnflow.schemas import MAX_ID, META, MIB, SPARSE_RATIO, VERTEX, GraphError
+from tarnflow.operators.grid import PartitionScheme, plan, plan_or_least
+from tarnflow.schemas import EDGE, MAX_ID, META, MIB, SPARSE_RATIO, VERTEX, GraphError
 
 META_KEYS = [field.split()[0] for field in META.split(", ")]
 
@@ -55,19 +55,20 @@ def check_scan(stats, allow_sparse: bool) -> None:
     if stats["invalid"]:
         raise GraphError(f"{stats['invalid']} edges have a null or negative id")
     if not allow_sparse and stats["max_id"] + 1 > SPARSE_RATIO * stats["edges_raw"]:
-        raise GraphError(f"ids are sparse: max_id+1 = {stats['max_id'] + 1} with only {stats['edges_raw']} edges — renumber vertices densely")
+        raise GraphError(f"ids are sparse: {stats['edges_raw']} edges are few for ids up to {stats['max_id']}; number the vertices without gaps")
 
 
-def prepare(edges: DataFrame, budget_bytes: int = 128 * MIB, threads: int = 8, transposed: bool = False, allow_sparse: bool = False, log: Callable[[str], None] | None = None) -> PreparedGraph:
+def prepare(edges: DataFrame, budget_bytes: int = 128 * MIB, threads: int = 8, transposed: bool = False, allow_sparse: bool = False, strict: bool = False, log: Callable[[str], None] | None = None) -> PreparedGraph:
     """Clean raw ``src, dst`` edges; edges and vertices are written once and read by every later step.
 
-    Ids may be sparse here without cost; ``allow_sparse`` leaves out the check that the dense layout needs.
+    Ids may be sparse here without cost; ``allow_sparse`` leaves out the check that the dense layout needs.  The layout of blocks is planned for a
+    budget of memory that nothing here is bound by; only with ``strict`` is a graph refused that no layout fits.
     """
     say = log or (lambda line: None)
     stats = scan_stats(edges).first()
     check_scan(stats, allow_sparse)
     say(f"scan: max_id={stats['max_id']} edges={stats['edges_raw']}")
-    scheme = plan(stats["max_id"], stats["edges_raw"], budget_bytes, threads)
+    scheme = (plan if strict else plan_or_least)(stats["max_id"], stats["edges_raw"], budget_bytes, threads)
     say(f"partitioning: P={scheme.partitions} interval={scheme.interval}")
     say(f"scatter: edges={stats['edges_written']} self_loops_dropped={stats['self_loops']}")
     kept = Stage(clean(edges), "clean-edges").df
@@ -85,12 +86,18 @@ def report(spark: SparkSession, graph: PreparedGraph) -> DataFrame:
     return spark.createDataFrame([tuple(graph.meta[k] for k in META_KEYS)], META)
 
 
+def checksum(rows: DataFrame) -> str:
+    """A sum over all rows that a changed, lost or repeated row changes, in any order."""
+    return str(rows.agg(F.sum(F.xxhash64(*rows.columns).cast("decimal(20,0)"))).first()[0] or 0)
+
+
 def save(graph: PreparedGraph, path: str) -> None:
     """Edges and vertices as Parquet, the report last: without it the folder is no graph.  Only these three folders are replaced."""
     spark = graph.edges.sparkSession
     graph.edges.write.mode("overwrite").parquet(f"{path}/edges")
     graph.vertices.write.mode("overwrite").parquet(f"{path}/vertices")
-    spark.createDataFrame([(json.dumps(graph.meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    told = graph.meta | {"edges_sum": checksum(graph.edges.select("src", "dst")), "vertices_sum": checksum(graph.vertices.select("id", "out_degree", "in_degree"))}
+    spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
 def parse_meta(text: str) -> dict[str, int]:
@@ -111,14 +118,22 @@ def parse_meta(text: str) -> dict[str, int]:
 
 
 def load(spark: SparkSession, path: str) -> PreparedGraph:
-    """A saved graph, its counts held against the report."""
+    """A saved graph, its columns, counts, degrees and checksums held against the report."""
     try:
-        meta = parse_meta(spark.read.text(f"{path}/meta").first()["value"])
-    except GraphError:
-        raise
+        text = spark.read.text(f"{path}/meta").first()["value"]
+        edges, vertices = spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/vertices")
     except Exception as e:
         raise GraphError(f"cannot open {path}: {type(e).__name__}") from e
-    edges, vertices = spark.read.parquet(f"{path}/edges"), spark.read.schema(VERTEX).parquet(f"{path}/vertices")
-    if edges.count() != meta["edges"] or vertices.count() != meta["vertices"]:
+    meta = parse_meta(text)
+    for name, rows, schema in (("edges", edges, EDGE), ("vertices", vertices, VERTEX)):
+        if [f"{f.name} {f.dataType.simpleString().upper()}" for f in rows.schema] != schema.split(", "):
+            raise GraphError(f"{path}/{name} has the columns {rows.schema.simpleString()}")
+    v = vertices.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.sum("out_degree").alias("o"), F.sum("in_degree").alias("i"), F.max("out_degree").alias("mo"), F.max("in_degree").alias("mi"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+    found = (edges.count(), v["n"], v["ids"], v["o"], v["i"], v["mo"], v["mi"])
+    if found != (meta["edges"], meta["vertices"], meta["vertices"], meta["edges"], meta["edges"], meta["max_out_degree"], meta["max_in_degree"]) or v["low"] < 0 or v["high"] > meta["max_id"]:
         raise GraphError(f"{path} does not hold the edges and vertices of its report")
+    sums = json.loads(text)
+    for name, rows, columns in (("edges_sum", edges, ("src", "dst")), ("vertices_sum", vertices, ("id", "out_degree", "in_degree"))):
+        if name in sums and sums[name] != checksum(rows.select(*columns)):
+            raise GraphError(f"{path} was changed: {name} differs from its report")
     return PreparedGraph(edges, vertices, meta)

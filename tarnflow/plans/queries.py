@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnflow.materialise import shared_dir
 from tarnflow.operators import compare, grid
 from tarnflow.operators.prepare import clean, degrees, prepare, report, scan_stats
 from tarnflow.operators.rank import contribution, incoming, initial_state, rank, step
@@ -80,8 +83,14 @@ def _prepared(spark, sf_dir, graph="part_supp"):
     return prepare(GRAPHS[graph](spark, sf_dir))
 
 
-def _fixed(spark, sf_dir, steps, graph="part_supp"):
-    return rank(_prepared(spark, sf_dir, graph), eps=0.0, max_iters=steps)
+def _fixed(spark, sf_dir, steps, graph="part_supp", **how):
+    return rank(_prepared(spark, sf_dir, graph), eps=0.0, max_iters=steps, **how)
+
+
+#: The ways that graphs too large for one task are ranked.
+BY_BROADCAST = {"local_edges": 0}
+BY_SHUFFLE = {"local_edges": 0, "broadcast_vertices": 0}
+EXACT = {"local_edges": 0, "exact": True}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,6 +192,12 @@ def _(spark, sf_dir):
     return spark.createDataFrame([(i, s.base(i), s.length(i)) for i in range(s.partitions)], "interval int, base long, length long")
 
 
+def _saved_blocks(spark, sf_dir) -> str:
+    path = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    grid.save_blocks(clean(GRAPHS["part_supp"](spark, sf_dir)), _scheme(spark, sf_dir), path)
+    return path
+
+
 _BLOCK = f"SELECT src, dst, (src // l)::INTEGER AS src_interval, (dst // l)::INTEGER AS dst_interval, ((dst // l) * {BLOCKS} + src // l)::BIGINT AS block_pos FROM e, x"
 _INDEX = f"""WITH {_RANGE}, b AS ({_BLOCK}), c AS (SELECT p::BIGINT AS block_pos, (SELECT count(*) FROM b WHERE block_pos = p) AS edge_count FROM range({BLOCKS * BLOCKS}) t(p)),
 i AS (SELECT (block_pos % {BLOCKS})::INTEGER AS src_interval, (block_pos // {BLOCKS})::INTEGER AS dst_interval, block_pos,
@@ -215,6 +230,17 @@ def _(spark, sf_dir):
     return blocks.withColumn("own", own).join(by_dst.withColumn("before", before).drop("n"), ["block_pos", "dst"]).select("block_pos", "src", "dst", (F.col("before") + F.col("own")).cast("long").alias("place"))
 
 
+@query("stored_block_scan", f"WITH {_RANGE}, b AS ({_BLOCK}) SELECT src, dst FROM b WHERE src_interval = 0 AND dst_interval = 0")
+def _(spark, sf_dir):
+    scheme, path = _scheme(spark, sf_dir), _saved_blocks(spark, sf_dir)
+    return grid.scan_block(spark, path, scheme, 0, 0)
+
+
+@query("stored_block_index", _INDEX + "SELECT * FROM i")
+def _(spark, sf_dir):
+    return grid.load_index(spark, _saved_blocks(spark, sf_dir), _scheme(spark, sf_dir))
+
+
 @query("presence_popcount", f"WITH {_RANGE} SELECT (id // l)::INTEGER AS interval, count(*) AS present FROM v, x GROUP BY ALL")
 def _(spark, sf_dir):
     ids = degrees(clean(GRAPHS["part_supp"](spark, sf_dir))).select("id", grid.interval_of(F.col("id"), _scheme(spark, sf_dir)).alias("interval"))
@@ -266,7 +292,17 @@ def _(spark, sf_dir):
 
 @query("lr_step5", _walk("part_supp", 5) + " SELECT id, round(s, 9) AS s FROM t WHERE k = 5 AND id <> -1")
 def _(spark, sf_dir):
-    return _fixed(spark, sf_dir, 5).scores.select("id", F.round("s", 9).alias("s"))
+    return _fixed(spark, sf_dir, 5, **BY_BROADCAST).scores.select("id", F.round("s", 9).alias("s"))
+
+
+@query("lr_step5_shuffled", _walk("cust_part", 5) + " SELECT id, round(s, 9) AS s FROM t WHERE k = 5 AND id <> -1")
+def _(spark, sf_dir):
+    return _fixed(spark, sf_dir, 5, "cust_part", **BY_SHUFFLE).scores.select("id", F.round("s", 9).alias("s"))
+
+
+@query("lr_step3_exact", _walk("cust_supp", 3) + " SELECT id, round(s, 9) AS s FROM t WHERE k = 3 AND id <> -1")
+def _(spark, sf_dir):
+    return _fixed(spark, sf_dir, 3, "cust_supp", **EXACT).scores.select("id", F.round("s", 9).alias("s"))
 
 
 for _name in ("part_supp", "cust_supp", "cust_part"):
@@ -287,7 +323,7 @@ FROM tr WHERE it <= (SELECT it FROM st)"""
 
 @query("lr_trace", _settled("part_supp") + _TRACE)
 def _(spark, sf_dir):
-    t = rank(_prepared(spark, sf_dir)).trace
+    t = rank(_prepared(spark, sf_dir), **BY_BROADCAST).trace
     return t.select("iteration", F.round("l1_per_vertex", 9).alias("l1_per_vertex"), F.round("ground", 6).alias("ground"), F.round("mass", 6).alias("mass"))
 
 
@@ -395,12 +431,20 @@ def _(spark, sf_dir):
     return median.withColumn("speedup", F.round(speedup, 9)).withColumn("efficiency", F.round(speedup / F.col("threads"), 9))
 
 
-@query("synthetic_degree_stats")
+@query("synthetic_properties", "SELECT true AS in_range, true AS no_loops, true AS mean_degree, 3::BIGINT AS hubs")
 def _(spark, sf_dir):
-    d = degrees(clean(generate(spark, 20_000, 12.0, (3, 500))))
-    return d.agg(F.count("*").alias("vertices"), F.sum("out_degree").alias("edges"), F.max("in_degree").alias("max_in"), F.max("out_degree").alias("max_out"))
+    """What holds for any seed: 20,000 vertices, mean degree 12, three hubs of 2,000 edges (a vertex has 12 incoming ones besides)."""
+    n = 20_000
+    edges = generate(spark, n, 12.0, (3, 2_000))
+    told = edges.agg(F.bool_and((F.least("src", "dst") >= 0) & (F.greatest("src", "dst") < n)).alias("in_range"), F.bool_and(F.col("src") != F.col("dst")).alias("no_loops"), (F.abs(F.count("*") / n - 12.3) < 0.3).alias("mean_degree"))
+    hubs = edges.groupBy("dst").agg(F.count("*").alias("m")).agg(F.count_if(F.col("m") >= 1_900).alias("hubs"))
+    return told.crossJoin(hubs)  # a row each
 
 
-@query("rank_csv_lines")
+@query("rank_csv_lines", _settled("part_supp") + f" SELECT vertex, true AS named, round(rank, 9) AS rank, true AS digits FROM ({_ranks_at('(SELECT it FROM st)')})")
 def _(spark, sf_dir):
-    return csv_lines(rank(_prepared(spark, sf_dir)).ranks)
+    """The lines read back: their vertex, the value to nine digits, and 15 significant digits at most."""
+    lines = csv_lines(rank(_prepared(spark, sf_dir)).ranks).withColumn("parts", F.split("line", ","))
+    value = F.col("parts")[1]
+    digits = F.length(F.regexp_replace(F.regexp_replace(value, "e.*$", ""), "^[0.]*|[.]", "")) <= 15
+    return lines.select("vertex", (F.col("parts")[0] == F.col("vertex").cast("string")).alias("named"), F.round(value.cast("double"), 9).alias("rank"), digits.alias("digits"))

@@ -20,6 +20,8 @@ SPARSE_RATIO = 64
 BLOCK_ALIGN = 4 * KIB
 EDGE_BYTES = 8
 COLUMN_BYTES = 20
+SCORE_BYTES, DEGREE_BYTES, INDEX_BYTES, LINE_BYTES = 8, 4, 16, 32
+CHUNK_VERTICES = 16384
 
 
 class GraphError(ValueError):

@@ -40,11 +40,12 @@ def is_content(line: Column) -> Column:
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Content lines with ``src``, ``dst`` and ``err``; ids are null where err tells why."""
-    kept = lines.where(is_content(F.col(column))).withColumn("_line", _strip(F.col(column)))
+    """Content lines with ``src``, ``dst`` and ``err``; ids are null where err tells why.  Lines of any kind that are too long are errors."""
+    long = F.octet_length(F.col(column)) >= MAX_LINE
+    kept = lines.where(is_content(F.col(column)) | long).withColumn("_line", _strip(F.col(column)))
     two, a, b = _columns(F.col("_line"))
     parsed = kept.withColumn("_two", two).withColumn("_a", a).withColumn("_b", b)
-    err = F.when(F.length(F.col(column)) >= MAX_LINE, F.lit(f"line is longer than {MAX_LINE} bytes")).when(~F.col("_two"), F.lit("expected two columns")).otherwise(F.coalesce(_fault(F.col("_a")), _fault(F.col("_b"))))
+    err = F.when(long, F.lit(f"line is longer than {MAX_LINE} bytes")).when(~F.col("_two"), F.lit("expected two columns")).otherwise(F.coalesce(_fault(F.col("_a")), _fault(F.col("_b"))))
     parsed = parsed.withColumn("err", err)
     ids = [F.when(F.col("err").isNull(), F.col(c).try_cast("int")).alias(n) for c, n in (("_a", "src"), ("_b", "dst"))]
     return parsed.select(*lines.columns, *ids, "err")
@@ -61,18 +62,21 @@ def is_header(line: str) -> bool:
 def read_edge_text(spark: SparkSession, path: str, transpose: bool = False) -> DataFrame:
     """``src, dst`` of a text file, unchecked for loops and copies.
 
-    Lines end at newlines only.  The first content line may be a header; only that row is left out.  A line that can't be read is an
+    Lines end at newlines only.  A file's first content line may be a header; only that row is left out.  A line that can't be read is an
     error that names the lowest such line.  Splits are Spark's own: a line belongs to the split in which it starts.
     """
-    text = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    first = text.where(is_content(F.col("value"))).orderBy("block", "row").first()
-    if first is not None and is_header(first["value"]):
-        text = text.where((F.col("block") != first["block"]) | (F.col("row") != first["row"]))
+    text = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    firsts = text.where(is_content(F.col("value"))).groupBy("file").agg(F.min(F.struct("block", "row", "value")).alias("head")).select("file", "head.*").collect()  # a row a file
+    headers = [(r["file"], r["block"], r["row"]) for r in firsts if is_header(r["value"])]
+    if headers:
+        gone = spark.createDataFrame(headers, "file string, block long, row long")
+        text = text.join(F.broadcast(gone), ["file", "block", "row"], "left_anti")
     parsed = parse_lines(text)
-    bad = parsed.where("err IS NOT NULL").orderBy("block", "row").first()
+    bad = parsed.where("err IS NOT NULL").orderBy("file", "block", "row").first()
     if bad is not None:
         # Only now are line numbers worth a pass in file order.
-        numbered = spark.read.option("lineSep", "\n").text(path).rdd.zipWithIndex()
+        path = bad["file"].removeprefix("file://")
+        numbered = spark.read.option("lineSep", "\n").text(bad["file"]).rdd.zipWithIndex()
         value = bad["value"]
         line = numbered.filter(lambda x: x[0][0] == value).map(lambda x: x[1]).min() + 1
         raise GraphError(f"{path}:{line}: {bad['err']}")

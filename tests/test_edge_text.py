@@ -3,32 +3,36 @@ import pytest
 from tarnflow.schemas import GraphError
 from tarnflow.sources.edge_text import from_dataframe, is_header, read_edge_text
 
+#: A row a rule of the grammar: separators, blanks, line ends, comments, headers, further columns, zeros, limits.
 GOOD = [
-    ("from,to\n1,2\n2,3\n", [(1, 2), (2, 3)]),
-    (" From \t To \n 1 \t 2 \n 10 \t 20 \n", [(1, 2), (10, 20)]),
-    ("# comment\r\n\r\nfrom,to\r\n1,2\r\n\r\n# more\r\n3,4\r\n", [(1, 2), (3, 4)]),
-    ("5,6\n7,8\n", [(5, 6), (7, 8)]),
-    ("from,to,weight\n1,2,99\n", [(1, 2)]),
-    ("h\n007,8\n2147483647,0", [(7, 8), (2147483647, 0)]),
+    ("src,dst\n17,4\n4,90\n90,17", [(17, 4), (4, 90), (90, 17)]),
+    ("17\t4\n4\t90\n", [(17, 4), (4, 90)]),
+    ("  8  ,  9  \n 9\t 8 \r\n", [(8, 9), (9, 8)]),
+    ("\r\n#a,b\r\n  # 1,2\r\n\r\nu,v\r\n#5,6\r\n60,61\r\n   \r\n", [(60, 61)]),
+    ("12,13,0.5,note\n13\t14\tx,y\n", [(12, 13), (13, 14)]),
+    ("x\n007,8\n2147483647,0", [(7, 8), (2147483647, 0)]),
     ("", []),
-    ("42\n1,2\n", [(1, 2)]),
-    ("a\rb,1\n1,2\n", [(1, 2)]),  # a lone carriage return ends no line
+    ("# nothing but this\n", []),
+    ("99\n3,1\n", [(3, 1)]),
+    ("p\rq,1\n3,1\n", [(3, 1)]),  # a lone carriage return ends no line
+    ("3,1\n3,1\n1,1\n", [(3, 1), (3, 1), (1, 1)]),  # copies and loops are kept here
 ]
 BAD = [
-    ("from,to\n1,2\n3,-4\n", ":3: negative id: -4"),
-    ("-1,2\n", ":1: negative id: -1"),
-    ("from,to\n1,3000000000\n", "id exceeds int32: 3000000000"),
-    ("from,to\n1,99999999999999999999999\n", "id exceeds int32: 99999999999999999999999"),
-    ("from,to\n1,two\n", "not a number: 'two'"),
-    ("from,to\n42\n", "expected two columns"),
-    ("h\n+1,2\n", "not a number: '+1'"),
-    ("h\n-0,1\n", "negative id: -0"),
-    ("h\n1,\n", "not a number: ''"),
-    ("h\n1\t2,3\n", "not a number: '2,3'"),
-    ("h\n\t1\t2\n", "not a number: ''"),
-    ("h\n1 2\n", "expected two columns"),
+    ("u,v\n5,6\n\n6,-7\n", ":4: negative id: -7"),
+    ("-3,5\n", ":1: negative id: -3"),
+    ("u,v\n4,4000000001\n", "id exceeds int32: 4000000001"),
+    ("u,v\n000123456789012345678901234567890,1\n", "id exceeds int32: 000123456789012345678901234567890"),
+    ("u,v\n6,six\n", "not a number: 'six'"),
+    ("u,v\n#\n77\n", ":3: expected two columns"),
+    ("h\n+8,3\n", "not a number: '+8'"),
+    ("h\n-0,3\n", "negative id: -0"),
+    ("h\n8,\n", "not a number: ''"),
+    ("h\n8\t3,4\n", "not a number: '3,4'"),
+    ("h\n\t8\t3\n", "not a number: ''"),
+    ("h\n8 3\n", "expected two columns"),
     ("h\n2147483648,0\n", "id exceeds int32: 2147483648"),
-    ("h\n99999999999999999999999x,0\n", "id exceeds int32"),
+    ("h\n55555555555555555555555z,0\n", "id exceeds int32"),
+    ("u,v\n1,2\n3,x\n4,y\n", ":3: not a number: 'x'"),  # the lowest one
 ]
 
 
@@ -51,30 +55,35 @@ def test_bad(spark, tmp_path, text, want):
 
 
 def test_transpose_and_dataframe(spark, tmp_path):
-    assert read_edge_text(spark, _write(tmp_path, "from,to\n1,2\n"), transpose=True).collect() == [(2, 1)]
+    assert read_edge_text(spark, _write(tmp_path, "u,v\n30,40\n"), transpose=True).collect() == [(40, 30)]
     assert from_dataframe(spark.createDataFrame([(1, 2)], "a long, b long"), "a", "b").collect() == [(1, 2)]
 
 
 def test_many_splits_and_line_number(spark, tmp_path):
-    rows = ["from,to"] + [f"{i},{i * 7 % 1000}" for i in range(1, 1000)]
+    rows = ["u,v"] + [f"{i},{i * i % 911}" for i in range(1, 1000)]
     path = _write(tmp_path, "\n".join(rows))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
     try:
         assert read_edge_text(spark, path).count() == 999
-        rows[500] = "1,oops"
+        rows[613] = "1,wrong"
         (tmp_path / "edges.csv").write_text("\n".join(rows))
-        with pytest.raises(GraphError, match=":501: not a number"):
+        with pytest.raises(GraphError, match=":614: not a number"):
             read_edge_text(spark, path)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
 
 
-def test_long_line(spark, tmp_path):
+@pytest.mark.parametrize("line", ["1,2," + "x" * 270000, "1,2," + "é" * 132000, "# " + "c" * 262144, " " * 262144])
+def test_long_lines_of_any_kind(spark, tmp_path, line):
     with pytest.raises(GraphError, match="longer than 262144"):
-        read_edge_text(spark, _write(tmp_path, "from,to\n1,2," + "x" * 270000 + "\n")).collect()
+        read_edge_text(spark, _write(tmp_path, f"u,v\n{line}\n")).collect()
+
+
+def test_longest_line(spark, tmp_path):
+    assert read_edge_text(spark, _write(tmp_path, "1,2," + "é" * 131000 + "\n")).collect() == [(1, 2)]
 
 
 def test_header_rule():
