@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +22,33 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SLICE = 512
 
 
+def release() -> None:
+    """Give memory that a Python worker freed back to the system: workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches):
     """Arrow batches in short pieces."""
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             yield batch.slice(at, SLICE)
+    release()
+
+
+def tidy(f):
+    """A function of whole groups that leaves no memory behind."""
+
+    @wraps(f)
+    def run(*groups):
+        try:
+            return f(*groups)
+        finally:
+            release()
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.llm.common import Stage, join_hot, table
+from tarnflow.llm.common import Stage, join_hot, table, tidy
 from tarnflow.llm.components import components
 
 COSINE = 0.9
@@ -245,6 +245,7 @@ def _match(index, dims: int, wide: bool, cosine: float):
     A query finds all that it links with in the lists that it asks, so either end of a link counts it where it is the query.
     """
 
+    @tidy
     def run(t: pa.Table) -> pa.Table:
         ix = index.value
         role = t.column("stored").to_numpy(zero_copy_only=False).astype(bool)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.llm.common import Stage, blank_to_empty, join_hot, slices, table
+from tarnflow.llm.common import Stage, blank_to_empty, join_hot, slices, table, tidy
 from tarnflow.llm.components import components
 from tarnflow.llm.shingles import mix, set_key, shingle_sets
 
@@ -100,6 +100,7 @@ def _scatter(words: int, buckets: int):
 def _share(groups: int):
     """In a bucket: the document frequency of each n-gram, then what is shared, by group of sets."""
 
+    @tidy
     def run(t: pa.Table) -> pa.Table:
         keys, ns, counts, hashes, _ = _unblob(t.column("blob").to_pylist(), False)
         _, first = np.unique(keys, return_index=True)  # equal sets from several tasks count once
@@ -138,6 +139,7 @@ SURVIVOR = "key long, n int, shared int, common double, prefix array<long>, gram
 REACH = f"(100 + {PERCENT}) * (shared - place) DIV {PERCENT} - n"
 
 
+@tidy
 def _survive(t: pa.Table) -> pa.Table:
     """Sets that share enough n-grams with others to link at all, those in global order (frequency, hash), and the prefix of that order.
 
@@ -169,7 +171,7 @@ def _places(every: int):
     """The places of one n-gram of a set in ``every``, chosen by a hash of both."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = [np.zeros(0, dtype=np.int64)]
             for key, grams, freq in zip(*(batch.column(c).to_pylist() for c in ("key", "grams", "freq"))):
                 h = np.frombuffer(grams, dtype=np.uint64)
@@ -215,6 +217,7 @@ def _segments(pivots: np.ndarray):
     return run
 
 
+@tidy
 def _partial(left: pa.Table, right: pa.Table) -> pa.Table:
     """Overlaps within one fragment of the pairs of one slot."""
     keys = left.column("key").to_numpy()

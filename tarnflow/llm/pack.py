@@ -6,6 +6,7 @@ import json
 import zlib
 from array import array
 from collections import Counter, defaultdict
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -46,12 +47,17 @@ class Encoder:
     def __init__(self, path: str) -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         ranks, self.special = load_ranks(path)
         self.ordinary = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit."""
         if any(s in text for s in self.special):
