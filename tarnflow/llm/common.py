@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,16 +38,21 @@ def slices(batches):
 
 
 def tidy(f):
-    """A function of whole groups that leaves no memory behind."""
+    """A function of one or two whole groups that leaves no memory behind.  Spark counts its parameters, so they are spelt out."""
 
-    @wraps(f)
-    def run(*groups):
+    def one(group):
         try:
-            return f(*groups)
+            return f(group)
         finally:
             release()
 
-    return run
+    def two(left, right):
+        try:
+            return f(left, right)
+        finally:
+            release()
+
+    return one if f.__code__.co_argcount == 1 else two
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
