@@ -275,8 +275,8 @@ def _verified(survivors: DataFrame, held: DataFrame, pairs: DataFrame, pivots: n
     return pairs.join(overlap, ["a", "b"]).where(100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _stars(by: str):
-    """Of each n-gram's sets the largest by ``by`` as a centre; each set is held against two centres: its most and its least common n-gram's."""
+def _stars(by: str, *ends):
+    """Of each n-gram's sets the largest by ``by`` as a centre; each set is held against the centre of its most (F.max) or least (F.min) common n-gram, or both."""
 
     def step(posts: DataFrame) -> DataFrame:
         head = F.max(F.struct(F.col(by).alias("weight"), "n", "key", "label"))
@@ -284,7 +284,7 @@ def _stars(by: str):
         small, large = F.least("n", "head.n"), F.greatest("n", "head.n")
         able = posts.join(heads, "gram").where((F.col("head.label") != F.col("label")) & (100 * small >= PERCENT * large))
         choice = F.struct("m", "head")
-        two = able.groupBy("key", "n").agg(F.array_distinct(F.array(F.max(choice)["head"], F.min(choice)["head"])).alias("heads")).select("key", "n", F.explode("heads").alias("head"))
+        two = able.groupBy("key", "n").agg(F.array_distinct(F.array(*(end(choice)["head"] for end in ends))).alias("heads")).select("key", "n", F.explode("heads").alias("head"))
         return _pairs(F.struct("n", "key"), F.struct("head.n", "head.key"), two)
 
     return step
@@ -332,8 +332,8 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     1. Sets are cut by range of the n-gram hash.  Each range counts its n-grams' document frequencies; n-grams of one set are dropped.
     2. A set that shares less than 80% of its n-grams with any others can't link and goes.  The rest stand in global order: frequency, then hash.
     3. Prefix filter: sets that link share an n-gram among the first that could be spared.  Each set is first held against the set with
-       the commonest n-grams (the text that near copies come from) of its most and of its least common such n-gram, then likewise
-       against the largest: two pairs a set.
+       the commonest n-grams (the text that near copies come from) of its most common such n-gram; what is still apart, of its least common one;
+       then against the largest of both: a few pairs a set, and one where the first links.
     4. Overlaps are counted by fragment of the global order (cut at quantiles), of those in which both sets have n-grams, and summed per pair; links
        are joined to components.
     5. Of the n-grams whose sets are still in different components all pairs across components that could link by their places in both
@@ -366,7 +366,7 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     posts = Stage(posted.select("gram", "key", "n", "common", "reach", F.col("key").alias("label")), "posts")
     tried: list[Stage] = []
     links: list[Stage] = []
-    for step in (_stars("common"), _stars("n"), _crossed):
+    for step in (_stars("common", F.max), _stars("common", F.min), _stars("n", F.max, F.min), _crossed):
         asked = step(posts.df)
         for earlier in tried:
             asked = asked.join(earlier.df, ["a", "b"], "left_anti")
