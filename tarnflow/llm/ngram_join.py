@@ -26,6 +26,8 @@ CROSS_PARTS = 16
 #: An n-gram of so many sets that may still cross is hot.
 HOT_GRAM = 2_000
 MIN_FRAGMENTS = 8
+#: Bits that tell how far two sets differ at least.
+BITS = 1024
 
 
 def _need(n):
@@ -134,11 +136,17 @@ def _share(groups: int):
     return run
 
 
-SURVIVOR = "key long, n int, shared int, common double, prefix array<long>, grams binary, freq binary"
+SURVIVOR = "key long, n int, shared int, common double, prefix array<long>, grams binary, freq binary, bits array<long>"
 #: A posting: at this n-gram the set can still link with sets of at most ``reach`` n-grams, as all later ones of it are not enough for larger ones.
 REACH = f"(100 + {PERCENT}) * (shared - place) DIV {PERCENT} - n"
 
 
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """For each value of the hash's last bits whether an odd number of n-grams has it, as BITS bits."""
+    odd = np.bincount((hashes & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 @tidy
 def _survive(t: pa.Table) -> pa.Table:
     """Sets that share enough n-grams with others to link at all, those in global order (frequency, hash), and the prefix of that order.
@@ -156,10 +164,10 @@ def _survive(t: pa.Table) -> pa.Table:
         spare = int(b - a - _need(int(n[a])))
         if spare >= 0:
             common = float(dfs[a:b].sum() + n[a] - (b - a)) / float(n[a])
-            rows.append((int(posting[a]), int(n[a]), int(b - a), common, hashes[a : a + spare + 1].view(np.int64), hashes[a:b].tobytes(), dfs[a:b].astype(np.int32).tobytes()))
-    cols = list(zip(*rows)) or [[]] * 7
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-    return pa.table([pa.array(list(c), k) for c, k in zip(cols, types)], names=["key", "n", "shared", "common", "prefix", "grams", "freq"])
+            rows.append((int(posting[a]), int(n[a]), int(b - a), common, hashes[a : a + spare + 1].view(np.int64), hashes[a:b].tobytes(), dfs[a:b].astype(np.int32).tobytes(), _parity(hashes[a:b])))
+    cols = list(zip(*rows)) or [[]] * 8
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+    return pa.table([pa.array(list(c), k) for c, k in zip(cols, types)], names=["key", "n", "shared", "common", "prefix", "grams", "freq", "bits"])
 
 
 def _place(hashes: np.ndarray, freq: np.ndarray) -> np.ndarray:
@@ -296,25 +304,33 @@ def _pairs(x, y, rows: DataFrame) -> DataFrame:
     return both.select(F.col("p.key").alias("a"), F.col("q.key").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).distinct()
 
 
-def _crossed(posts: DataFrame) -> DataFrame:
-    """All pairs from different components that could link by their place at a common prefix n-gram.
+def _crossed(survivors: DataFrame):
+    """All pairs from different components that could link by their place at a common prefix n-gram and by their bits.
 
     At the first n-gram common to two sets that link, what is left of either (it included) is at least their overlap, so neither is
     larger than the other's reach there.  Sets edited so much that they reach no set in the n-gram leave before the join.
+    Each bit in which two sets differ stands for an n-gram that only one of them has, so twice their overlap is at most what
+    they share with any others less those bits.
     """
-    for _ in range(2):
-        least = posts.groupBy("gram").agg(F.min("n").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram", "least")
-        posts = posts.join(least, "gram").where("reach >= least").drop("least")
-    posts = Stage(posts, "posts-crossing").df
-    sizes = posts.groupBy("gram").agg(F.count("*").alias("n"))
-    hot = [r[0] for r in sizes.where(F.col("n") >= HOT_GRAM).select("gram").collect()] if posts.count() >= HOT_GRAM else []  # postings / HOT_GRAM at most
-    is_hot = F.col("gram").isin(hot) if hot else F.lit(False)
-    dealt = F.when(is_hot, F.pmod(F.xxhash64("key"), F.lit(CROSS_PARTS)).cast("int")).otherwise(0)
-    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(CROSS_PARTS - 1))).otherwise(F.array(F.lit(0)))
-    x, y = posts.withColumn("part", dealt).alias("x"), posts.withColumn("part", F.explode(parts)).alias("y")
-    apart = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") != F.col("y.label")) & (F.struct("x.n", "x.key") < F.struct("y.n", "y.key"))
-    within = (F.col("x.n") <= F.col("y.reach")) & (F.col("y.n") <= F.col("x.reach"))
-    return x.join(y, apart & within).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+
+    def step(posts: DataFrame) -> DataFrame:
+        for _ in range(2):
+            least = posts.groupBy("gram").agg(F.min("n").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram", "least")
+            posts = posts.join(least, "gram").where("reach >= least").drop("least")
+        posts = Stage(posts.join(survivors.select("key", "shared", "bits"), "key"), "posts-crossing").df
+        sizes = posts.groupBy("gram").agg(F.count("*").alias("n"))
+        hot = [r[0] for r in sizes.where(F.col("n") >= HOT_GRAM).select("gram").collect()] if posts.count() >= HOT_GRAM else []  # postings / HOT_GRAM at most
+        is_hot = F.col("gram").isin(hot) if hot else F.lit(False)
+        dealt = F.when(is_hot, F.pmod(F.xxhash64("key"), F.lit(CROSS_PARTS)).cast("int")).otherwise(0)
+        parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(CROSS_PARTS - 1))).otherwise(F.array(F.lit(0)))
+        x, y = posts.withColumn("part", dealt).alias("x"), posts.withColumn("part", F.explode(parts)).alias("y")
+        apart = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") != F.col("y.label")) & (F.struct("x.n", "x.key") < F.struct("y.n", "y.key"))
+        within = (F.col("x.n") <= F.col("y.reach")) & (F.col("y.n") <= F.col("x.reach"))
+        differ = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(BITS // 64)), F.lit(0))
+        enough = (100 + PERCENT) * (F.col("x.shared") + F.col("y.shared") - differ) >= 2 * PERCENT * (F.col("x.n") + F.col("y.n"))
+        return x.join(y, apart & within & enough).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+
+    return step
 
 
 def _all(stages: list[Stage]) -> DataFrame:
@@ -337,7 +353,7 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     4. Overlaps are counted by fragment of the global order (cut at quantiles), of those in which both sets have n-grams, and summed per pair; links
        are joined to components.
     5. Of the n-grams whose sets are still in different components all pairs across components that could link by their places in both
-       sets are held against each other; pairs within a component can't change the result.  So a large group of near copies needs a few pairs a member.
+       sets, and by how far their bits differ, are held against each other; pairs within a component can't change the result.  So a large group of near copies needs a few pairs a member.
 
     Null and empty texts and texts without words have no shingles, link with nothing and are their own component; fewer than ``words`` words are one
     shingle.  Repeated rows are equal sets.  A null id never names a component that has another.  An empty table gives no rows;
@@ -366,7 +382,8 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     posts = Stage(posted.select("gram", "key", "n", "common", "reach", F.col("key").alias("label")), "posts")
     tried: list[Stage] = []
     links: list[Stage] = []
-    for step in (_stars("common", F.max), _stars("common", F.min), _stars("n", F.max, F.min), _crossed):
+    cross = _crossed(survivors)
+    for step in (_stars("common", F.max), _stars("common", F.min), _stars("n", F.max, F.min), cross):
         asked = step(posts.df)
         for earlier in tried:
             asked = asked.join(earlier.df, ["a", "b"], "left_anti")
@@ -379,7 +396,7 @@ def shingle_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         # Only n-grams whose sets are in different components can still tell anything.
         named_posts = posts.df.drop("label").join(label.df.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         mixed = named_posts.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
-        if step is not _crossed:
+        if step is not cross:
             open_posts = Stage(named_posts.join(mixed, "gram", "left_semi"), "posts")
             posts.drop()
             posts = open_posts

@@ -446,3 +446,15 @@ def test_mix_of_repeated_and_null_ids(spark):
     assert all(abs(words[s] - want[s]) <= 40 for s in want)
     copies = Counter((r["doc_id"], r["text"]) for r in got if r["text"] in ("a b c d", "e f"))
     assert copies[1, "a b c d"] <= 120 and copies[None, "e f"] <= 90
+
+
+def test_differing_bits_never_exceed_differing_ngrams():
+    from tarnflow.llm.ngram_join import BITS, _parity
+
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 30, 500, 20_000):
+        pool = rng.integers(0, 1 << 63, size=size + size // 3, dtype=np.uint64)
+        a, b = np.unique(pool[:size]), np.unique(pool[size // 3 :])
+        bits = np.bitwise_count((_parity(a) ^ _parity(b)).view(np.uint64)).sum()
+        assert len(_parity(a)) == BITS // 64 and bits <= len(np.setxor1d(a, b))
+        assert not (_parity(a) ^ _parity(a[::-1])).any()
