@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnflow.llm.bloom import MAX_BITS, among, bits_for, build, seen_ids
-from tarnflow.llm.common import Stage, table
+from tarnflow.llm.common import Stage, ready, table
 from tarnflow.llm.line_dedup import line_dedup
 from tarnflow.llm.mix import mixed_documents
 from tarnflow.llm.ngram_join import shingle_components
 from tarnflow.llm.pack import pack
 from tarnflow.llm.quality import score_quality
-from tarnflow.session import ship_code
 
 
 #: So many dropped rows at most are broadcast (8 bytes each); beyond, a filter of them comes before the join.
@@ -53,7 +52,7 @@ def _without(docs: DataFrame, gone: DataFrame, row: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    ship_code(spark)
+    ready(spark)
     # Names that the scores don't clash with.
     own = [f"_{i}" if c != "text" else "text" for i, c in enumerate(docs.columns)]
     scored = score_quality(docs.select("doc_id", *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own))), table(spark, sf_dir, "labels"), carry=tuple(own))
@@ -62,7 +61,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that at least three documents hold stay in one of them; a document that loses all its lines stays, empty."""
-    ship_code(spark)
+    ready(spark)
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     out = line_dedup(docs, carry=rest).withColumnRenamed("kept_text", "text")
     if "n_chars" in rest:
@@ -72,7 +71,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows linked by shingles the one with the smallest id stays; where ids don't tell rows apart, one of them."""
-    ship_code(spark)
+    ready(spark)
     rows, row = _with_row(docs)
     found = shingle_components(rows, id_col=row)
     gone = Stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias(row)), "near-copies").df
@@ -86,7 +85,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
-    ship_code(spark)
+    ready(spark)
     return pack(docs)
 
 

@@ -19,6 +19,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Rows that a Python worker handles at once, so that few texts are Python objects at a time.
 SLICE = 512
+#: Rows of an Arrow batch, which the JVM and the worker hold whole, both ways.
+BATCH_ROWS, ARROW_ROWS = 2_048, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def release() -> None:
@@ -55,8 +57,15 @@ def tidy(f):
     return one if f.__code__.co_argcount == 1 else two
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def ready(spark: SparkSession) -> None:
+    """Give the executors this package, and bound the texts that one Arrow batch holds on its way to and from Python."""
     ship_code(spark)
+    if int(spark.conf.get(ARROW_ROWS)) > BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, BATCH_ROWS)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
