@@ -21,6 +21,9 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SLICE = 512
 #: Rows of an Arrow batch, which the JVM and the worker hold whole, both ways.
 BATCH_ROWS, ARROW_ROWS = 2_048, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of a batch on its way to Python, and rows that the Parquet reader holds decoded, where rows alone are no bound because texts are long.
+BATCH_BYTES, ARROW_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+READER_ROWS, PARQUET_ROWS = 512, "spark.sql.parquet.columnarReaderBatchSize"
 
 
 def release() -> None:
@@ -64,6 +67,13 @@ def ready(spark: SparkSession) -> None:
         spark.conf.set(ARROW_ROWS, BATCH_ROWS)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Bound the texts that tasks hold at once by bytes, and what the Parquet reader decodes ahead; results don't depend on it."""
+    spark.conf.set(ARROW_BYTES, BATCH_BYTES)
+    if int(spark.conf.get(PARQUET_ROWS)) > READER_ROWS:
+        spark.conf.set(PARQUET_ROWS, READER_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

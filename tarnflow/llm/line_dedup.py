@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnflow.llm.bloom import MAX_BITS, among, bits_for, build, hits_of, positions_of, seen_ids
-from tarnflow.llm.common import WHITE, Stage, blank_to_empty, join_hot, slices, table
+from tarnflow.llm.common import WHITE, Stage, blank_to_empty, join_hot, short_batches, slices, table
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: So many confirmed lines at most are broadcast (24 bytes each); more are joined by shuffle.
@@ -173,6 +173,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 

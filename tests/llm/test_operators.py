@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +208,24 @@ def test_line_dedup_of_hot_lines_and_repeated_ids(spark, broadcast_keys, monkeyp
     assert sum(r["n_dropped"] for r in line_dedup(names).collect()) == sum(r["n_dropped"] for r in got)
 
 
+def test_line_dedup_query_holds_few_long_texts_at_once(spark, tmp_path):
+    """Every text arrives whole, but a batch on its way to Python is bounded by bytes, not by rows only."""
+    from tarnflow.llm.line_dedup import op5_line_dedup
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["n"])
+
+    own = spark.newSession()  # what the query sets stays in it
+    rows = [(i, f"A line that all of the long documents hold\n{i}" + f" word{i}" * 12_000) for i in range(300)]
+    own.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op5_line_dedup(own, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted((i, n, gone, hashlib.sha256(t.encode()).hexdigest()) for i, t, n, gone in _lines_kept(rows))
+    held = [r["n"] for r in own.read.parquet(f"{tmp_path}/documents.parquet").select("text").mapInArrow(sizes, "n long").collect()]
+    assert sum(held) > 20_000_000 and max(held) < 5_000_000
+    assert int(own.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+
+
 def test_shingles(docs):
     sets = []
     for t in TEXTS:
